@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# Spark runs a worker on each core; the library's own threads would only get in their way.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 CACHE_ENTRIES = 600_000
 #: Letters that no normalizer of these tokenizers turns into several: one pre-token a word.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -29,10 +33,25 @@ def is_regular(lines: list[str], text: str) -> bool:
     return all(x and not x[0].isspace() and not x[-1].isspace() for x in lines)
 
 
+GROUP_CHARS = 2_000_000
+
+
+def in_groups(texts: list[str], f: Callable[[list[str]], list]) -> list:
+    """f of the texts, called for groups of about GROUP_CHARS characters so that their pieces stay few."""
+    out, group, size = [], [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= GROUP_CHARS:
+            out += f(group)
+            group, size = [], 0
+    return out + f(group) if group else out
+
+
 class Cache:
     """A dictionary of pieces that starts anew when full, so a task's memory stays bounded."""
 
-    def __init__(self, encode_missing: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+    def __init__(self, encode_missing: Callable[[list[str], dict], list], entries: int = CACHE_ENTRIES):
         self.encode_missing, self.entries, self.known = encode_missing, entries, {}
 
     def load(self, pieces: set[str]) -> dict[str, object]:
@@ -41,18 +60,18 @@ class Cache:
         if missing:
             if len(known) + len(missing) > self.entries:
                 self.known = known = {x: known[x] for x in pieces if x in known}
-            known.update(zip(missing, self.encode_missing(missing), strict=True))
+            known.update(zip(missing, self.encode_missing(missing, known), strict=True))
         return known
 
 
 class ByteLevelCutter:
     """Texts to pieces and back for a byte-level tokenizer (no prefix space): first words of lines stand without a space.
 
-    bare and spaced get pieces and return a value for each, spaced as if a space stood before it; whole(text) gives the
-    value of an irregular text.
+    bare and spaced get pieces and the known values, and return a value for each piece, spaced as if a space stood before
+    it; whole(text) gives the value of an irregular text.
     """
 
-    def __init__(self, bare: Callable[[list[str]], list], spaced: Callable[[list[str]], list], whole: Callable[[str], object]):
+    def __init__(self, bare: Callable[[list[str], dict], list], spaced: Callable[[list[str], dict], list], whole: Callable[[str], object]):
         self.bare, self.spaced, self.whole = Cache(bare, CACHE_ENTRIES // 4), Cache(spaced), whole
 
     def values(self, texts: list[str]) -> list[list]:
@@ -107,7 +126,7 @@ class _Encoder:
     def joined(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def missing(self, pieces: list[str], plain: Callable[[list[str]], list[bytes]], before: str = "") -> list[bytes]:
+    def missing(self, pieces: list[str], known: dict[str, bytes], plain: Callable[[list[str]], list[bytes]], before: str = "") -> list[bytes]:
         """The ids of each piece behind before; plain gives those of words that are letters only."""
         out: list = [b""] * len(pieces)
         cores, at, tails = [], [], []
@@ -123,12 +142,13 @@ class _Encoder:
             self.tails = {"": b""}
         for x in set(tails) - self.tails.keys():
             self.tails[x] = self.one(x)
-        todo = list(dict.fromkeys(cores))
+        todo = [x for x in dict.fromkeys(cores) if x not in known]
         ids: dict[str, bytes] = {}
         for low in range(0, len(todo), 2000):
             ids.update(zip(todo[low : low + 2000], plain(todo[low : low + 2000]), strict=True))
         for k, core, tail in zip(at, cores, tails, strict=True):
-            out[k] = ids[core] + self.tails[tail] if tail else ids[core]
+            whole = ids.get(core) or known[core]
+            out[k] = whole + self.tails[tail] if tail else whole
         return out
 
 
@@ -141,7 +161,7 @@ class ByteLevelEncoder(_Encoder):
         self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.starts[[i for s, i in vocab.items() if s[0] == "Ġ"]] = True
         self.feed = vocab["Ċ"]
-        self.cutter = ByteLevelCutter(lambda xs: self.missing(xs, self._bare), lambda xs: self.missing(xs, self._spaced, " "), self.one)
+        self.cutter = ByteLevelCutter(lambda xs, known: self.missing(xs, known, self._bare), lambda xs, known: self.missing(xs, known, self._spaced, " "), self.one)
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         ids = self.joined(" " + " ".join(words))
@@ -157,7 +177,7 @@ class ByteLevelEncoder(_Encoder):
         return _slices(np.delete(ids, feeds), np.concatenate(([0], at)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in self.cutter.values(texts)]
+        return in_groups(texts, lambda group: [b"".join(x) for x in self.cutter.values(group)])
 
 
 class WordEncoder(_Encoder):
@@ -171,7 +191,7 @@ class WordEncoder(_Encoder):
         vocab = json.loads(self.library.to_str())["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.cache = Cache(lambda xs: self.missing(xs, self._words))
+        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words))
 
     def _words(self, words: list[str]) -> list[bytes]:
         ids = self.joined(" ".join(words))
@@ -179,7 +199,13 @@ class WordEncoder(_Encoder):
         return _slices(ids, np.concatenate(([0], ends[:-1] + 1))) if len(ends) == len(words) else [self.one(w) for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        return in_groups(texts, self._group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for t in texts:
+            t = t.replace("\n", " ")
+            cut.append(t.split(" "))
         known = self.cache.load(set().union(*cut))
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 

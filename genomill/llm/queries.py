@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from genomill.llm import quality_rules
+from genomill.llm.fingerprints import edited_fingerprints
 from genomill.llm.packing import pack
 from genomill.llm.token_counts import count_tokens
 from genomill.llm.token_ids import round_trip
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,9 +33,15 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_ids": op6_token_ids,
+    "op9_fingerprints": op9_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}

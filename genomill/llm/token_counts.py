@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from genomill.llm._chunks import MARKS, PLAIN, ByteLevelCutter
+from genomill.llm._chunks import MARKS, PLAIN, ByteLevelCutter, in_groups
 from genomill.llm._common import map_arrow
 
 NONE = np.int64(2**62)
@@ -110,7 +110,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.table, self.pre = MergeTable(path), Tokenizer.from_file(path).pre_tokenizer
-        self.cutter = ByteLevelCutter(self._missing, lambda xs: self._missing(xs, " "), self.whole)
+        self.cutter = ByteLevelCutter(self._missing, lambda xs, known: self._missing(xs, known, " "), self.whole)
 
     def _pretokens(self, text: str) -> list[bytes]:
         of = self.table.byte_of
@@ -124,14 +124,17 @@ class Counter:
             return self.whole(text[:at]) + 1 + self.whole(text[at + len(s) :])
         return int(merge_counts(self.table, self._pretokens(text)).sum())
 
-    def _missing(self, pieces: list[str], before: str = "") -> list[int]:
+    def _missing(self, pieces: list[str], known: dict[str, int], before: str = "") -> list[int]:
         number: dict[bytes, int] = {}
-        refs, owner = [], []
+        refs, owner, total = [], [], np.zeros(len(pieces), dtype=np.int64)
         for k, x in enumerate(pieces):
             core = x if x.isalpha() else x.rstrip(MARKS)
             if core and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
-                refs.append(number.setdefault((before + core).encode(), len(number)))
-                owner.append(k)
+                if core in known:
+                    total[k] = known[core]
+                else:
+                    refs.append(number.setdefault((before + core).encode(), len(number)))
+                    owner.append(k)
                 if len(core) < len(x):
                     refs.append(number.setdefault(x[len(core) :].encode(), len(number)))
                     owner.append(k)
@@ -139,11 +142,12 @@ class Counter:
                 for c in self._pretokens(before + x):
                     refs.append(number.setdefault(c, len(number)))
                     owner.append(k)
-        counts = merge_counts(self.table, list(number)) if number else np.zeros(0)
-        return np.bincount(owner, weights=counts[refs], minlength=len(pieces)).astype(np.int64).tolist() if refs else [0] * len(pieces)
+        if refs:
+            np.add.at(total, owner, merge_counts(self.table, list(number))[refs])
+        return total.tolist()
 
     def count(self, texts: list[str]) -> list[int]:
-        return [sum(x) for x in self.cutter.values(texts)]
+        return in_groups(texts, lambda group: [sum(x) for x in self.cutter.values(group)])
 
 
 @functools.lru_cache(maxsize=1)
