@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from genomill.llm import quality_rules
 from genomill.llm.fingerprints import edited_fingerprints
+from genomill.llm.ngram_join import similarity_classes
 from genomill.llm.packing import pack
+from genomill.llm.substring_dedup import repeated_passages
 from genomill.llm.token_counts import count_tokens
 from genomill.llm.token_ids import round_trip
 from genomill.session import importable
@@ -21,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,15 +39,21 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_ids": op6_token_ids,
+    "op7_ngram_join": op7_ngram_join,
     "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
