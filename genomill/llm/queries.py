@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.llm import quality_rules
+from genomill.llm import mixing, quality_rules, toxicity
 from genomill.llm.fingerprints import edited_fingerprints
+from genomill.llm.html_extract import main_text
 from genomill.llm.ngram_join import similarity_classes
 from genomill.llm.packing import pack
 from genomill.llm.substring_dedup import repeated_passages
@@ -27,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,17 +48,29 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_ids": op6_token_ids,
     "op7_ngram_join": op7_ngram_join,
+    "op8_html_extraction": op8_html_extraction,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
