@@ -32,7 +32,6 @@ def exact(het: int, hom_ref: int, hom_alt: int) -> tuple[float, float, float]:
     return float(min(p[p <= at * TIE].sum(), 1)), float(min(p[h <= het].sum(), 1)), float(min(p[h >= het].sum(), 1))
 
 
-@F.pandas_udf("p double, deficit double, excess double")
 def _exact(het: pd.Series, hom_ref: pd.Series, hom_alt: pd.Series) -> pd.DataFrame:
     rows = [exact(int(a), int(b), int(c)) for a, b, c in zip(het, hom_ref, hom_alt, strict=True)]
     return pd.DataFrame(rows, columns=["p", "deficit", "excess"])
@@ -40,4 +39,4 @@ def _exact(het: pd.Series, hom_ref: pd.Series, hom_alt: pd.Series) -> pd.DataFra
 
 def exact_test(het: Column, hom_ref: Column, hom_alt: Column) -> Column:
     """Struct of p, deficit and excess. Arrow batches; equal counts are worked out once in a worker."""
-    return _exact(het, hom_ref, hom_alt)
+    return F.pandas_udf(_exact, "p double, deficit double, excess double")(het, hom_ref, hom_alt)

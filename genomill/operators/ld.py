@@ -44,7 +44,8 @@ def geno_r2(sites: DataFrame, *, window: int | None = None, window_min: int | No
     pairs = left.alias("a").join(right.alias("b"), keys).where(cond)
     both = F.filter(F.zip_with("a.g", "b.g", lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))), lambda v: v["x"].isNotNull() & v["y"].isNotNull())
     pairs = pairs.select("chrom", F.col("a.pos").alias("pos1"), F.col("b.pos").alias("pos2"), both.alias("v"))
-    sums = {"n": F.size("v").cast("long")} | {k: F.aggregate("v", F.lit(0).cast("long"), lambda s, e, f=f: s + f(e)) for k, f in (("sx", lambda e: e["x"]), ("sy", lambda e: e["y"]), ("sxx", lambda e: e["x"] * e["x"]), ("syy", lambda e: e["y"] * e["y"]), ("sxy", lambda e: e["x"] * e["y"]))}
+    add = lambda f: F.aggregate("v", F.lit(0).cast("long"), lambda s, e: s + f(e))
+    sums = {"n": F.size("v").cast("long"), "sx": add(lambda e: e["x"]), "sy": add(lambda e: e["y"]), "sxx": add(lambda e: e["x"] * e["x"]), "syy": add(lambda e: e["y"] * e["y"]), "sxy": add(lambda e: e["x"] * e["y"])}
     out = pairs.withColumns(sums)
     cov = F.expr("n * sxy - sx * sy")
     r2 = ratio(cov.cast("double") * cov.cast("double"), F.expr("cast(n * sxx - sx * sx as double) * cast(n * syy - sy * sy as double)"))

@@ -31,7 +31,7 @@ def sites(spark: SparkSession, sf_dir: str, copy: int = 1) -> DataFrame:
         ((F.col("p_partkey") - F.col("p_partkey") % 5) * 20 + F.col("p_size")).cast("int").alias("pos"),
         F.lit(".").alias("id"),
         F.expr("concat(array(case when p_partkey % 13 = 0 then 'AT' else 'A' end, 'C'), case when p_partkey % 11 = 0 then array('G') else array() end)").alias("alleles"),
-        F.expr("case when p_partkey % 17 = 0 then -1D else cast(cast(floor(p_retailprice) as int) - 900 as double) end").alias("qual"),
+        F.expr("case when p_partkey % 17 = 0 then -1D else cast(p_partkey * 7 % 100 as double) end").alias("qual"),
         F.expr("case p_partkey % 4 when 0 then array('PASS') when 1 then array() when 2 then array('q10') else array('q10', 's50') end").cast("array<string>").alias("filters"),
         F.lit(".").alias("info"),
         F.expr("concat(case when p_size % 3 = 0 then array('DB') else array() end, case when p_size % 5 = 0 then array('H2') else array() end)").cast("array<string>").alias("info_keys"),
