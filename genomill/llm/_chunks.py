@@ -7,7 +7,7 @@ are the concatenation of its pieces' ids. A text with other white space around t
 
 from __future__ import annotations
 
-import functools
+import gc
 import json
 import os
 import re
@@ -16,10 +16,12 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
+from genomill.llm._common import held
+
 # Spark runs a worker on each core; the library's own threads would only get in their way.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Letters that no normalizer of these tokenizers turns into several: one pre-token a word.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks that make one pre-token together when nothing else is between them.
@@ -37,41 +39,59 @@ GROUP_CHARS = 2_000_000
 
 
 def in_groups(texts: list[str], f: Callable[[list[str]], list]) -> list:
-    """f of the texts, called for groups of about GROUP_CHARS characters so that their pieces stay few."""
+    """f of the texts, called for groups of about GROUP_CHARS characters so that their pieces stay few.
+
+    The many short lists have no cycles, so the cycle collector rests meanwhile.
+    """
     out, group, size = [], [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= GROUP_CHARS:
-            out += f(group)
-            group, size = [], 0
-    return out + f(group) if group else out
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= GROUP_CHARS:
+                out += f(group)
+                group, size = [], 0
+        return out + f(group) if group else out
+    finally:
+        if on:
+            gc.enable()
 
 
 class Cache:
-    """A dictionary of pieces that starts anew when full, so a task's memory stays bounded."""
+    """Values of pieces in two generations: when the newer one is full it becomes the older, whose other pieces are forgotten.
 
-    def __init__(self, encode_missing: Callable[[list[str], dict], list], entries: int = CACHE_ENTRIES):
-        self.encode_missing, self.entries, self.known = encode_missing, entries, {}
+    What is in use moves back to the newer one, so a task's memory stays bounded and frequent pieces stay known.
+    """
+
+    def __init__(self, encode_missing: Callable[[list[str], dict], dict], entries: int = CACHE_ENTRIES):
+        self.encode_missing, self.entries, self.known, self.older = encode_missing, entries, {}, {}
 
     def load(self, pieces: set[str]) -> dict[str, object]:
-        known = self.known
-        missing = [x for x in pieces if x not in known]
+        missing = pieces.difference(self.known)
+        if not missing:
+            return self.known
+        if len(self.known) + len(missing) > self.entries:
+            kept = {x: self.known[x] for x in pieces if x in self.known}
+            self.older, self.known = self.known, kept
+        known, older = self.known, self.older
+        back = {x: older[x] for x in missing if x in older}
+        known.update(back)
+        missing = [x for x in missing if x not in back]
         if missing:
-            if len(known) + len(missing) > self.entries:
-                self.known = known = {x: known[x] for x in pieces if x in known}
-            known.update(zip(missing, self.encode_missing(missing, known), strict=True))
+            known.update(self.encode_missing(missing, known))
         return known
 
 
 class ByteLevelCutter:
     """Texts to pieces and back for a byte-level tokenizer (no prefix space): first words of lines stand without a space.
 
-    bare and spaced get pieces and the known values, and return a value for each piece, spaced as if a space stood before
+    bare and spaced get pieces and the known values, and return the pieces' values, spaced as if a space stood before
     it; whole(text) gives the value of an irregular text.
     """
 
-    def __init__(self, bare: Callable[[list[str], dict], list], spaced: Callable[[list[str], dict], list], whole: Callable[[str], object]):
+    def __init__(self, bare: Callable[[list[str], dict], dict], spaced: Callable[[list[str], dict], dict], whole: Callable[[str], object]):
         self.bare, self.spaced, self.whole = Cache(bare, CACHE_ENTRIES // 4), Cache(spaced), whole
 
     def values(self, texts: list[str]) -> list[list]:
@@ -126,29 +146,37 @@ class _Encoder:
     def joined(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def missing(self, pieces: list[str], known: dict[str, bytes], plain: Callable[[list[str]], list[bytes]], before: str = "") -> list[bytes]:
-        """The ids of each piece behind before; plain gives those of words that are letters only."""
-        out: list = [b""] * len(pieces)
-        cores, at, tails = [], [], []
-        for k, x in enumerate(pieces):
-            core = x if x.isalpha() else x.rstrip(MARKS)
-            if core and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
-                cores.append(core)
-                at.append(k)
-                tails.append(x[len(core) :])
-            elif x or before:
-                out[k] = self.one(before + x)
+    def missing(self, pieces: list[str], known: dict[str, bytes], plain: Callable[[list[str]], list[bytes]], before: str = "", form: Callable[[str], str] = str) -> dict[str, bytes]:
+        """The ids of each piece behind before; plain gives those of words that are letters only, equal for equal forms."""
+        cores, rest = {}, []
+        for x in pieces:
+            if x.isalpha() if x.isascii() else PLAIN.fullmatch(x):
+                cores[x] = form(x)
+            else:
+                rest.append(x)
+        cut = {}
+        for x in rest:
+            core = x.rstrip(MARKS)
+            if core and core not in cores and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
+                cores[core] = form(core)
+            if core in cores:
+                cut[x] = core
+        forms = [x for x in set(cores.values()) if x not in known]
+        ids: dict[str, bytes] = {}
+        for low in range(0, len(forms), 2000):
+            ids.update(zip(forms[low : low + 2000], plain(forms[low : low + 2000]), strict=True))
+        out = {x: ids[y] if y in ids else known[y] for x, y in cores.items()}
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
-        for x in set(tails) - self.tails.keys():
-            self.tails[x] = self.one(x)
-        todo = [x for x in dict.fromkeys(cores) if x not in known]
-        ids: dict[str, bytes] = {}
-        for low in range(0, len(todo), 2000):
-            ids.update(zip(todo[low : low + 2000], plain(todo[low : low + 2000]), strict=True))
-        for k, core, tail in zip(at, cores, tails, strict=True):
-            whole = ids.get(core) or known[core]
-            out[k] = whole + self.tails[tail] if tail else whole
+        for x in rest:
+            core = cut.get(x)
+            if core is None:
+                out[x] = self.one(before + x) if x or before else b""
+            else:
+                tail = x[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.one(tail)
+                out[x] = out[core] + self.tails[tail]
         return out
 
 
@@ -191,7 +219,7 @@ class WordEncoder(_Encoder):
         vocab = json.loads(self.library.to_str())["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words))
+        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words, form=str.lower))
 
     def _words(self, words: list[str]) -> list[bytes]:
         ids = self.joined(" ".join(words))
@@ -210,13 +238,11 @@ class WordEncoder(_Encoder):
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
-@functools.lru_cache(maxsize=1)
 def byte_level(path: str) -> ByteLevelEncoder:
     """One encoder for all tasks of a worker process."""
-    return ByteLevelEncoder(path)
+    return held(("byte", path), lambda: ByteLevelEncoder(path))
 
 
-@functools.lru_cache(maxsize=1)
 def word_level(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker process."""
-    return WordEncoder(path)
+    return held(("word", path), lambda: WordEncoder(path))

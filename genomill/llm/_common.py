@@ -42,6 +42,15 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def range_of(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most value, found by halving."""
+    if not bounds:
+        return F.lit(0)
+    array = F.array(*(F.lit(x).cast("long") for x in bounds))
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, j: F.when((at + j <= len(bounds)) & (F.try_element_at(array, at + j) <= value), at + j).otherwise(at))
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of characters other than space and U+0009 to U+000D; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
@@ -60,6 +69,17 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps between tasks; another operator's takes its place."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def release(spark: SparkSession, uri: str) -> None:
     """Delete a folder below the shared folder, through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 500_000
+from genomill.llm._common import held
+
+CACHE_WORDS = 300_000
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 A, B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -25,8 +27,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-#: One cache for all tasks of a worker process.
-WORDS = WordHashes()
+def word_hashes(text: bytes) -> np.ndarray:
+    """Of a text's words, from the one cache for all tasks of a worker process."""
+    return held(("words",), WordHashes).of(text)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

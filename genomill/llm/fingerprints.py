@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm._common import partitions, words_of
+from genomill.llm._common import partitions, range_of, words_of
 
 BITS = 128
 LANES = 0x0000000100000001
@@ -64,13 +64,6 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("__key").alias(key), hexed("hi", "lo").alias("fingerprint"), "hi", "lo")
 
 
-def _bucket(bounds: list[int], value: Column) -> Column:
-    """How many of the ascending bounds are at most value, found by halving."""
-    array = F.array(*(F.lit(x).cast("long") for x in bounds))
-    steps = F.array(*(F.lit(1 << j) for j in reversed(range(len(bounds).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, j: F.when((at + j <= len(bounds)) & (F.try_element_at(array, at + j) <= value), at + j).otherwise(at))
-
-
 def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -89,7 +82,7 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     if found[0] is None:
         found = (0, [])
     bounds = sorted({found[0], *found[1]})
-    rows = rows.withColumn("__b", _bucket(bounds, F.col("__at")))
+    rows = rows.withColumn("__b", range_of(bounds, F.col("__at")))
     array = F.array(*(F.lit(x).cast("long") for x in bounds))
     before = F.when(F.col("__b") == 1, F.lit(len(bounds))).otherwise(F.col("__b") - 1)
     homes = F.when(F.element_at(array, F.col("__b")) == F.col("__at"), F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost")), F.struct(before.alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost"))))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from genomill.llm._common import checkpoint, map_arrow, partitions
 from genomill.llm._graph import components
-from genomill.llm._shingles import WORDS, U, mixed, shingles
+from genomill.llm._shingles import U, mixed, shingles, word_hashes
 
 BLOCK = 64
 SEED = 20_24
@@ -72,7 +72,7 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             node, check, found = [], [], []
             for raw in batch.column(1).to_pylist():
-                s = np.unique(shingles(WORDS.of(raw or b""), n))
+                s = np.unique(shingles(word_hashes(raw or b""), n))
                 data = s.tobytes()
                 node.append(xxhash.xxh3_64_intdigest(data))
                 check.append(xxhash.xxh64_intdigest(data))
@@ -90,7 +90,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = [np.unique(shingles(WORDS.of(x or b""), n)).tobytes() for x in batch.column(len(names)).to_pylist()]
+            data = [np.unique(shingles(word_hashes(x or b""), n)).tobytes() for x in batch.column(len(names)).to_pylist()]
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(data, pa.binary())], [*names, "set"])
 
         return run

@@ -8,7 +8,6 @@ as a pre-token has symbols.
 
 from __future__ import annotations
 
-import functools
 import json
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from genomill.llm._chunks import MARKS, PLAIN, ByteLevelCutter, in_groups
-from genomill.llm._common import map_arrow
+from genomill.llm._common import held, map_arrow
 
 NONE = np.int64(2**62)
 
@@ -124,7 +123,7 @@ class Counter:
             return self.whole(text[:at]) + 1 + self.whole(text[at + len(s) :])
         return int(merge_counts(self.table, self._pretokens(text)).sum())
 
-    def _missing(self, pieces: list[str], known: dict[str, int], before: str = "") -> list[int]:
+    def _missing(self, pieces: list[str], known: dict[str, int], before: str = "") -> dict[str, int]:
         number: dict[bytes, int] = {}
         refs, owner, total = [], [], np.zeros(len(pieces), dtype=np.int64)
         for k, x in enumerate(pieces):
@@ -144,16 +143,15 @@ class Counter:
                     owner.append(k)
         if refs:
             np.add.at(total, owner, merge_counts(self.table, list(number))[refs])
-        return total.tolist()
+        return dict(zip(pieces, total.tolist(), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         return in_groups(texts, lambda group: [sum(x) for x in self.cutter.values(group)])
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str) -> Counter:
     """One counter for all tasks of a worker process."""
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomill.llm._chunks import word_level
-from genomill.llm._common import checkpoint, fresh_dir, partitions, release
+from genomill.llm._common import checkpoint, fresh_dir, partitions, range_of, release
 
 MAGIC = b"GMIDX001"
 BUCKET_KEYS = 4
@@ -151,8 +151,11 @@ def write_ids(docs: DataFrame, tokenizer: str, uri: str, *, key: str = "doc_id",
         yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(keys)], "ids": [ends[-1]], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "width": [dtype.itemsize]})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    # Sampling for the ranges reads the table's scan only: encoding comes after the exchange.
-    done = rows.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text").mapInArrow(run, "shard long, docs long, ids long, low long, high long, width long")
+    # The ranges come from the keys alone; a range's number is its partition's.
+    bounds = docs.select(F.percentile_approx(F.col(key).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0]
+    rows = rows.withColumn("shard", F.coalesce(range_of(sorted(set(bounds or []))[: shards - 1], F.col("key")), F.lit(0)))
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text").select("key", "text")
+    done = dealt.mapInArrow(run, "shard long, docs long, ids long, low long, high long, width long")
     parts, start = [], 0  # one small row for each shard
     for r in sorted(done.collect(), key=lambda r: r.shard):
         parts.append(r.asDict() | {"start": start})

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genomill.llm._chunks import in_groups
-from genomill.llm._common import map_arrow
+from genomill.llm._common import held, map_arrow
 
 ORDER, DECAY = 3, 0.5
 TRAIN_PER_CLASS = 1200
@@ -30,7 +30,7 @@ LANDMARKS, CLEAN_LANDMARKS = 64, 16
 LENGTH = 24
 #: Least support times log ratio of a landmark: among so many runs weaker ones arise by chance.
 EVIDENCE = 25.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 SPELLED = re.compile(r"(?:(?<=\s)|^)\w(?:[ \t]\w){2,}(?=\s|$)")
 EDGES = " .,;:!?#*$%&<>()|\"'[]{}-_/\\"
@@ -345,10 +345,10 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     stays null and isn't held out.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model.parts), ("toxicity", hash(repr(model.parts)))
 
     def make():
-        own = _model(shared.value)
+        own = held(name, lambda: Model(*shared.value))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score([x or "" for x in batch.column(1).to_pylist()]), pa.float64())], ["key", "score"])
@@ -357,15 +357,3 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     out = map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, score double")
     return out.select(F.col("key").alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-_MODELS: dict[tuple, Model] = {}
-
-
-def _model(parts: tuple) -> Model:
-    """One model, with its known words, for all tasks of a worker process."""
-    name = repr(parts)
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(*parts)
-    return _MODELS[name]
