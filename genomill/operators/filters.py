@@ -105,17 +105,18 @@ def summarized(sites: DataFrame) -> DataFrame:
     return sites.withColumns(site_columns()).withColumns(count_columns())
 
 
-def kept_sites(sites: DataFrame, spec: QuerySpec, stay: bool = True) -> DataFrame:
+def kept_sites(sites: DataFrame, spec: QuerySpec, streaming: bool = False) -> DataFrame:
     """Sites that pass all filters, masked and summarized.
 
-    Aggregates are projected once and the filter on them stays above: pushed down it would compute them again.
+    Aggregates are projected once and the filter on them stays above: pushed down it would compute them again. A
+    stream allows no row numbers, so there a random column that passes always holds the filter in place.
     """
     record, calls = record_predicates(spec), call_predicates(spec)
     if record:
         sites = sites.where(reduce(lambda a, b: a & b, record))
     sites = summarized(masked(sites, spec))
     if calls or spec.hwe is not None:
-        sites = sites.withColumn("__stay", F.monotonically_increasing_id())
+        sites = sites.withColumn("__stay", F.rand(0) if streaming else F.monotonically_increasing_id())
         if spec.hwe is not None:
             sites = sites.withColumn("__hwe", exact_test(F.col("n_het"), F.col("n_hom_ref"), F.col("n_complete") - F.col("n_het") - F.col("n_hom_ref"))["p"])
             calls.append(F.col("__hwe") >= spec.hwe)
