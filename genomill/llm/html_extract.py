@@ -27,10 +27,14 @@ from pyspark.sql import functions as F
 from genomill.llm._common import map_arrow
 
 LABELLED_PAGES, LABEL_SEED = 400, 11
+#: A word's least score: what lies inside an article shouldn't cut off the article's end, as it is left out anyway.
+LEAST, MOST = -0.25, 2.0
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements within a line of text, which say nothing about where it stands.
+INLINE = frozenset(["", "html", "body", *"a abbr b big cite code em font i mark q s small span strong sub sup time tt u".split()])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "button", "canvas", "math", "audio", "video")
 DROPPED = frozenset([*RAW, "form", "head", "title", "nav", "menu", "footer", "header", "aside", "dialog", "fieldset", "label"])
@@ -43,13 +47,15 @@ CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "text
 
 
 class Element:
-    __slots__ = ("name", "marks", "parent", "path")
+    __slots__ = ("name", "marks", "parent", "path", "own", "value")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent = name, parent
         found = "".join(" " + (a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
         self.marks = frozenset(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower()))
-        self.path = (parent.path if parent else frozenset()) | {name} | {f".{m}" for m in self.marks}
+        self.own = frozenset({name, *(f".{m}" for m in self.marks)}) - INLINE
+        self.path = (parent.path if parent else frozenset()) | self.own
+        self.value = None
 
 
 def pieces(page: str) -> list[tuple[str, Element | None, int]]:
@@ -136,19 +142,20 @@ def _template(rng: random.Random) -> list[tuple[str, bool]]:
     body = f"<h1>{good(3, 9)}</h1>"
     for _ in range(rng.randint(1, 10)):
         roll = rng.random()
-        if roll < 0.75:
+        if roll < 0.6:
             link = f"<a href='/y'>{good(1, 3)}</a>{good(2, 20)}" if rng.random() < 0.2 else ""
             body += rng.choice(["<p>{}</p>"] * 4 + ["<div><p>{}</p></div>", "<section><p>{}</p></section>", "<div>{}</div>"]).format(good(5, 90) + link)
-        elif roll < 0.82:
+        elif roll < 0.66:
             body += f"<h2>{good(1, 6)}</h2>"
-        elif roll < 0.88:
+        elif roll < 0.72:
             body += "<ul>" + "".join(f"<li>{good(2, 12)}</li>" for _ in range(3)) + "</ul>"
-        elif roll < 0.94:
+        elif roll < 0.76:
             body += f"<blockquote>{good(5, 30)}</blockquote>"
         else:
             body += rng.choice(around)()
-    if rng.random() < 0.3:
-        body += rng.choice(after[2:])()
+    if rng.random() < 0.4:
+        at = body.rfind("<p>") if rng.random() < 0.5 else len(body)
+        body = body[:at] + rng.choice(after[2:])() + body[at:]
     wrap = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post entry"', 'div class="article body"', 'section class="story"'])
     page = "<html><head><title>\0" + bad(3, 9) + "\0</title></head><body>" + "".join(rng.choice(around)() for _ in range(rng.randint(1, 4)))
     if rng.random() < 0.4:
@@ -161,10 +168,6 @@ def _template(rng: random.Random) -> list[tuple[str, bool]]:
     return [(x, k % 2 == 1) for k, x in enumerate(page.split("\0"))]
 
 
-def _feature_words(path: frozenset[str]) -> frozenset[str]:
-    return path - {"html", "body", "", "b", "i", "em", "strong", "span", "u", "font", "center"}
-
-
 @functools.lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], float, float]:
     """(score of each element name and .mark, score of a word in none, score of a tag) from the labelled pages.
@@ -181,7 +184,7 @@ def weights() -> tuple[dict[str, float], float, float]:
         for text, element, _ in pieces(marked):
             if text[:1] in "\1\2" and text:
                 good = text[0] == "\1"
-                rows[_feature_words(element.path), good] += len(text.split())
+                rows[element.path, good] += len(text.split())
                 near[good] += 1
     names = sorted(set().union(*(p for p, _ in rows)))
     index = {x: i for i, x in enumerate(names)}
@@ -201,18 +204,30 @@ def weights() -> tuple[dict[str, float], float, float]:
 class Extractor:
     def __init__(self):
         self.weight, self.base, self.tag = weights()
-        self.seen: dict[frozenset[str], float] = {}
 
     def score(self, element: Element) -> float:
-        """Of a word in the element: above zero where it is rather article text."""
-        path = element.path
-        value = self.seen.get(path)
-        if value is None:
-            value = -4.0 if path & DROPPED else self.base + sum(self.weight.get(f, 0.0) for f in _feature_words(path))
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            self.seen[path] = value = min(max(value, -4.0), 4.0)
-        return value
+        """Of a word in the element: above zero where it is rather article text.
+
+        Evidence is added up from the outermost element inwards and never stands above MOST, so an advert or a comment
+        within an article is told by its own box, however strong the signs around the article are.
+        """
+        if element.value is None:
+            before = self.base if element.parent is None else self._running(element.parent)
+            element.value = before + sum(self.weight.get(f, 0.0) for f in element.own)
+        running = min(element.value, MOST)
+        return LEAST if element.path & DROPPED else max(running, LEAST)
+
+    def _running(self, element: Element) -> float:
+        if element.value is None:
+            chain = []
+            up = element
+            while up is not None and up.value is None:
+                chain.append(up)
+                up = up.parent
+            for e in reversed(chain):
+                before = self.base if e.parent is None else min(e.parent.value, MOST)
+                e.value = before + sum(self.weight.get(f, 0.0) for f in e.own)
+        return min(element.value, MOST)
 
     def text(self, page: str) -> str:
         """The main text; an empty string where no word scores above zero."""
