@@ -35,7 +35,7 @@ def is_regular(lines: list[str], text: str) -> bool:
     return all(x and not x[0].isspace() and not x[-1].isspace() for x in lines)
 
 
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 5_000_000
 
 
 def in_groups(texts: list[str], f: Callable[[list[str]], list]) -> list:
@@ -146,26 +146,23 @@ class _Encoder:
     def joined(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def missing(self, pieces: list[str], known: dict[str, bytes], plain: Callable[[list[str]], list[bytes]], before: str = "", form: Callable[[str], str] = str) -> dict[str, bytes]:
-        """The ids of each piece behind before; plain gives those of words that are letters only, equal for equal forms."""
-        cores, rest = {}, []
+    def missing(self, pieces: list[str], known: dict[str, bytes], plain: Callable[[list[str]], list[bytes]], before: str = "", lower: bool = False) -> dict[str, bytes]:
+        """The ids of each piece behind before; plain gives those of words that are letters only, whatever their case if lower."""
+        words, rest, cut = [], [], {}
         for x in pieces:
-            if x.isalpha() if x.isascii() else PLAIN.fullmatch(x):
-                cores[x] = form(x)
-            else:
-                rest.append(x)
-        cut = {}
+            (words if (x.isalpha() if x.isascii() else PLAIN.fullmatch(x)) else rest).append(x)
+        new = set(words)
         for x in rest:
             core = x.rstrip(MARKS)
-            if core and core not in cores and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
-                cores[core] = form(core)
-            if core in cores:
+            if core and (core in new or (core.isalpha() if core.isascii() else PLAIN.fullmatch(core))):
                 cut[x] = core
-        forms = [x for x in set(cores.values()) if x not in known]
+        new.update(cut.values())
+        new.difference_update(known)
+        forms = list({x.lower() for x in new} if lower else new)
         ids: dict[str, bytes] = {}
         for low in range(0, len(forms), 2000):
             ids.update(zip(forms[low : low + 2000], plain(forms[low : low + 2000]), strict=True))
-        out = {x: ids[y] if y in ids else known[y] for x, y in cores.items()}
+        out = {x: ids[x.lower()] for x in new} if lower else ids
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
         for x in rest:
@@ -176,7 +173,7 @@ class _Encoder:
                 tail = x[len(core) :]
                 if tail not in self.tails:
                     self.tails[tail] = self.one(tail)
-                out[x] = out[core] + self.tails[tail]
+                out[x] = (out[core] if core in out else known[core]) + self.tails[tail]
         return out
 
 
@@ -219,7 +216,7 @@ class WordEncoder(_Encoder):
         vocab = json.loads(self.library.to_str())["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words, form=str.lower))
+        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words, lower=True))
 
     def _words(self, words: list[str]) -> list[bytes]:
         ids = self.joined(" ".join(words))
