@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import os
 import tempfile
 import uuid
@@ -56,6 +58,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
 
 
+def trim() -> None:
+    """Give a finished task's freed memory back to the system: workers stay, and wait beside other stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a per-task state: make() is called once in each task and its result maps every batch."""
 
@@ -65,10 +75,21 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             out = f(batch)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def join_apart(left: DataFrame, sums: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with sums (grouped by the long column key) on key, both exchanged for the join alone.
+
+    The exchange of the grouping would serve the join as well, but adaptive execution can't split a frequent key's
+    partition of left then. Under an equal key that the planner doesn't recognise, it can.
+    """
+    apart = F.col(key).bitwiseXOR(F.lit(0x5DEECE66D).cast("long"))
+    return left.withColumn("__apart", apart).join(sums.withColumn("__apart", apart).drop(key), "__apart", how).drop("__apart")
+
+
 _HELD: dict[tuple, object] = {}
 
 

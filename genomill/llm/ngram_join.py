@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm._common import checkpoint, map_arrow, partitions
+from genomill.llm._common import checkpoint, join_apart, map_arrow, partitions
 from genomill.llm._graph import components
 from genomill.llm._shingles import U, mixed, shingles, word_hashes
 
@@ -182,10 +182,10 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     entries = nodes.where("b0 is not null").select("node", F.explode(F.array(*band)).alias("band"))
     buckets = entries.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    edges = entries.join(buckets, "band").where("node <> a").select("a", F.col("node").alias("b"))
+    edges = join_apart(entries, buckets, "band").where("node <> a").select("a", F.col("node").alias("b"))
     candidates = components(edges)
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    members = candidates.join(sizes, "component").join(nodes.select("node", "key", "copies"), "node")
+    members = join_apart(candidates, sizes, "component").join(nodes.select("node", "key", "copies"), "node")
     members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
     members = checkpoint(members.select("component", "node", "key", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
     own = docs.select(F.col(key).alias("own"), F.col(text).alias("text"))
@@ -200,5 +200,5 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     named = nodes.select("node", "key", "copies").join(links, "node", "left").join(classes, "node", "left")
     named = checkpoint(named.select("node", "key", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "node").alias("class")))
     least = named.groupBy("class").agg(F.min("key").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(least, "class").select("node", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = join_apart(named, least, "class").select("node", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return signed.select("key", "node").join(named, "node").select(F.col("key").alias(key), "class_id", "class_size", "n_links")

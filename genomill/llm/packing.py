@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomill.llm._chunks import byte_level
-from genomill.llm._common import checkpoint
+from genomill.llm._common import checkpoint, trim
 
 PATTERN_ROWS_PER_LENGTH = 4096
 
@@ -107,6 +107,7 @@ def _measured(docs: DataFrame, tokenizer: str, key: str, text: str, capacity: in
                 [batch.column(0), long([part] * len(n)), long(n), long([x % capacity for x in n]), long(rank), long(wholes), pa.array(crcs, pa.list_(pa.int64()))],
                 ["key", "part", "n", "rest", "rank", "whole", "crcs"],
             )
+        trim()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, part long, n long, rest long, rank long, whole long, crcs array<long>")
