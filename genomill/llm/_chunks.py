@@ -21,7 +21,8 @@ from genomill.llm._common import held
 # Spark runs a worker on each core; the library's own threads would only get in their way.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 250_000
+#: Entries of a generation; word-end files have the longer cache, as their operator stands alone.
+CACHE_ENTRIES, WORD_ENTRIES = 330_000, 700_000
 #: Letters that no normalizer of these tokenizers turns into several: one pre-token a word.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks that make one pre-token together when nothing else is between them.
@@ -216,7 +217,7 @@ class WordEncoder(_Encoder):
         vocab = json.loads(self.library.to_str())["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words, lower=True))
+        self.cache = Cache(lambda xs, known: self.missing(xs, known, self._words, lower=True), WORD_ENTRIES)
 
     def _words(self, words: list[str]) -> list[bytes]:
         ids = self.joined(" ".join(words))
