@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from genomill.llm._graph import components
+from genomill.llm._shingles import shingles, word_hashes
 from genomill.llm.ngram_join import BLOCK, choose_bands, overlaps, similarity_classes
-from genomill.llm.substring_dedup import Fenwick, chains, repeated_passages, without_passages
+from genomill.llm.substring_dedup import SPAN, WINDOW, Fenwick, K, chains, minimizers, repeated_passages, without_passages
 
 SCHEMA = "doc_id long, text string, node string, class_id string"
 
@@ -132,3 +133,21 @@ def test_passages_are_cut_and_the_rest_stays(spark):
     assert repeated_passages(docs(spark, [])).count() == 0
     same = docs(spark, [(7, " ".join(passage)), (7, " ".join(passage)), (None, " ".join(passage))])
     assert {(r.doc_id, r.first_doc_id) for r in repeated_passages(same).collect()} == {(7, None)}
+
+
+def seeded(rng, n, every):
+    """Whether seeds that a passage of n words shares with its edited copy (each every-th word changed) span enough."""
+    passage = words(rng, n)
+    copy = [w if i % every else "zz" + str(rng.randint(0, 999)) for i, w in enumerate(passage, 1)]
+    both = []
+    for w in (passage, copy):
+        h = shingles(word_hashes(" ".join(words(rng, 40) + w + words(rng, 40)).encode()), K)
+        both.append((h, minimizers(h, WINDOW)))
+    common = [p for p in both[0][1].tolist() if both[0][0][p] in set(both[1][0][both[1][1]].tolist())]
+    return bool(common) and common[-1] + K - common[0] >= SPAN
+
+
+@pytest.mark.parametrize(("n", "every", "share"), [(50, 10, 1.0), (60, 8, 1.0), (60, 6, 1.0), (80, 6, 1.0)])
+def test_seeds_of_edited_passages(n, every, share):
+    rng = random.Random(n + every)
+    assert sum(seeded(rng, n, every) for _ in range(200)) >= share * 200
