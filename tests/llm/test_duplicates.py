@@ -151,3 +151,32 @@ def seeded(rng, n, every):
 def test_seeds_of_edited_passages(n, every, share):
     rng = random.Random(n + every)
     assert sum(seeded(rng, n, every) for _ in range(200)) >= share * 200
+
+
+def covered(rows, n=50):
+    """doc_id to the numbers of its words that stand in n words which an earlier document has, by comparing all of them."""
+    seen, out = set(), {}
+    for i, w in sorted(rows):
+        grams = [tuple(w[j : j + n]) for j in range(len(w) - n + 1)]
+        if at := {j + x for j, g in enumerate(grams) if g in seen for x in range(n)}:
+            out[i] = at
+        seen.update(grams)
+    return out
+
+
+def check_covered(spark, rows, slack=0):
+    got = {}
+    for r in repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        assert r.first_doc_id < r.doc_id and r.end_word - r.start_word >= 50 and r.identity >= 0.8
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    want = covered(rows)
+    assert got.keys() == want.keys()
+    for i, at in want.items():
+        assert len(at - got[i]) <= slack and len(got[i] - at) <= 6, i
+
+
+def test_parts_in_smaller_ids_do_not_hide_a_passage(spark):
+    rng = random.Random(21)
+    passage = words(rng, 80)
+    part = {1: passage[:40], 2: passage[40:], 10: passage, 15: passage[:40], 16: passage[40:], 20: passage, 25: passage[20:60], 30: passage}
+    check_covered(spark, [(i, words(rng, 30) + p + words(rng, 30)) for i, p in part.items()])
