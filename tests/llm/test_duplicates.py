@@ -180,3 +180,13 @@ def test_parts_in_smaller_ids_do_not_hide_a_passage(spark):
     passage = words(rng, 80)
     part = {1: passage[:40], 2: passage[40:], 10: passage, 15: passage[:40], 16: passage[40:], 20: passage, 25: passage[20:60], 30: passage}
     check_covered(spark, [(i, words(rng, 30) + p + words(rng, 30)) for i, p in part.items()])
+
+
+@pytest.mark.parametrize("period", [1, 10, 15, 30])
+def test_repeated_lines_are_passages(spark, period):
+    rng = random.Random(period)
+    line = words(rng, period)
+    several = line * (90 // period)
+    rows = [(1, words(rng, 40) + several + words(rng, 30)), (2, words(rng, 70)), (3, words(rng, 25) + several + words(rng, 30))]
+    rows += [(4, words(rng, 20) + line[:12] + words(rng, 60) + several + words(rng, 10)), (5, words(rng, 10) + several[: len(several) - period] + words(rng, 40))]
+    check_covered(spark, rows, slack=period)
