@@ -6,7 +6,7 @@ import pytest
 from genomill.llm._graph import components
 from genomill.llm._shingles import shingles, word_hashes
 from genomill.llm.ngram_join import BLOCK, choose_bands, overlaps, similarity_classes
-from genomill.llm.substring_dedup import SPAN, WINDOW, Fenwick, K, chains, minimizers, repeated_passages, without_passages
+from genomill.llm.substring_dedup import SPAN, WINDOW, Fenwick, K, align, chains, minimizers, repeated_passages, without_passages
 
 SCHEMA = "doc_id long, text string, node string, class_id string"
 
@@ -190,3 +190,10 @@ def test_repeated_lines_are_passages(spark, period):
     rows = [(1, words(rng, 40) + several + words(rng, 30)), (2, words(rng, 70)), (3, words(rng, 25) + several + words(rng, 30))]
     rows += [(4, words(rng, 20) + line[:12] + words(rng, 60) + several + words(rng, 10)), (5, words(rng, 10) + several[: len(several) - period] + words(rng, 40))]
     check_covered(spark, rows, slack=period)
+
+
+def test_alignment_goes_on_while_the_score_grows():
+    a = np.arange(200)
+    b = np.where((a % 4 == 0) & (abs(a - 100) > 5), -1, a)
+    start, diagonal, equal = align(np.concatenate([a, a + 500]), np.concatenate([b, a + 900]), [(98, 103, 0)], 21)
+    assert start <= 4 and start + len(equal) == 200 and not diagonal.any()
