@@ -3,14 +3,18 @@
 1. A softmax classifier is trained on a bounded sample of labelled documents; it gives every document a posterior over
    the domains, so a document counts to several of them.
 2. Rates r >= 0, one for each document, minimise
-       1/2 sum_k (sum_d r_d n_d p_dk / N - t_k)^2 + ridge/2 sum_d n_d/N (r_d - 1)^2
-   (n tokens, p posteriors, N all tokens, t target shares) by accelerated projected gradient. In the metric of the
-   token counts a document's step depends on its posterior and the domains' residuals only. An iteration is one pass
-   over (n, p): each task replays the residuals so far for its documents and returns one sum for each domain.
+       1/2 e' G^-1 e + ridge/2 sum_d n_d/N (r_d - 1)^2,  e_k = sum_d r_d n_d p_dk / N - t_k,  G = sum_d n_d/N p_d p_d'
+   (n tokens, p posteriors, N all tokens, t target shares) by accelerated projected gradient. G makes rare domains
+   weigh as much as frequent ones, in the residuals and against the ridge. In the metric of the token counts a
+   document's step depends on its posterior and G^-1 e only. An iteration is one pass over (n, p): each task replays
+   the residuals so far for its documents and returns one sum for each domain.
+3. Where that doesn't bring every domain within TOLERANCE of its target, Newton steps on the dual finish: the optimum
+   has the rates max(0, 1 + p'l) for one multiplier l of each domain. They end when the optimum's equations hold.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -26,8 +30,10 @@ TRAIN_ROWS = 3000
 VOCABULARY = 4000
 SYMBOLS, CAPITALS = b"#*$%&|<>!", bytes(range(65, 91))
 DENSE = 5
-RIDGE = 1e-3
-ITERATIONS, TOLERANCE = 80, 1e-5
+RIDGE, DUAL_RIDGE = 1e-4, 1e-6
+# Relative to each target: error that ends the gradient steps, and error in the optimum's equations that ends the dual steps.
+ITERATIONS, TOLERANCE = 80, 1e-3
+DUAL_STEPS, DUAL_TOLERANCE = 100, 1e-5
 TARGETS = {"clean": 0.92, "low": 0.02, "toxic": 0.06}
 
 
@@ -143,27 +149,73 @@ def _sums(slim: DataFrame, steps: list[np.ndarray], step: float, ridge: float, k
     return np.array([math.fsum(sorted(r[i] for r in parts)) for i in range(2 * k)])
 
 
-def solve(slim: DataFrame, target: np.ndarray, *, ridge: float = RIDGE, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
-    """Residuals of each iteration and the step; replay() turns them into rates. slim: n_tokens, p."""
+def _dual_sums(slim: DataFrame, duals: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of duals: expected tokens of each domain, sum of n r^2, and sum of n p p' over rates above 0."""
+    many = len(duals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((many, k + 1 + k * k))
+        for batch in batches:
+            p, n = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            for i, dual in enumerate(duals):
+                rate = np.maximum(1 + p @ dual, 0)
+                total[i] += np.concatenate([(n * rate) @ p, [(n * rate) @ rate], ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+
+    parts = slim.select("n_tokens", "p").mapInArrow(run, "sums array<double>").collect()  # a row of a few numbers for each task
+    sums = np.array([math.fsum(sorted(c)) for c in zip(*(r["sums"] for r in parts), strict=True)]).reshape(many, -1)
+    return sums[:, :k], sums[:, k], sums[:, k + 1 :].reshape(many, k, k)
+
+
+def _finish(slim: DataFrame, target: np.ndarray, gram: np.ndarray, total: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(multiplier of each domain, shares reached) by Newton steps with a line search; the sums of all its points are one pass."""
+    k, lengths = len(target), 0.5 ** np.arange(12)
+    inside = gram @ np.linalg.pinv(gram, hermitian=True)  # what the posteriors can tell apart
+    points = np.zeros((1, k))
+    for _ in range(DUAL_STEPS):
+        reached, squares, active = (x / total for x in _dual_sums(slim, points, k))
+        best = int(np.argmin(0.5 * squares - points @ target + 0.5 * ridge * np.einsum("ij,jk,ik->i", points, gram, points)))
+        dual, reached = points[best], reached[best]
+        error = inside @ (reached - target + ridge * gram @ dual)
+        if np.all(np.abs(error) <= DUAL_TOLERANCE * target):
+            return dual, reached
+        step = np.linalg.lstsq(active[best] + ridge * gram, error, rcond=1e-15)[0]
+        points = np.concatenate([dual[None], dual - lengths[:, None] * step])
+    logging.getLogger(__name__).warning("the mixture is not at its optimum after %d steps; error %s", DUAL_STEPS, error)
+    return dual, reached
+
+
+def solve(slim: DataFrame, target: np.ndarray, *, ridge: float = RIDGE, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray | None]:
+    """G^-1 times the residuals of each iteration, the step, and the dual if that finished; rates() takes them. slim: n_tokens, p."""
     k, steps, step = len(target), [], 1 / (1 + ridge)
     total = float(slim.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
-        return steps, step
-    before = np.full(k, np.inf)
-    for _ in range(iterations):
+        return steps, step, None
+    gram = _dual_sums(slim, np.zeros((1, k)), k)[2][0] / total
+    inverse = np.linalg.pinv(gram, hermitian=True)
+    dual = None
+    while True:
         reached, ahead = np.split(_sums(slim, steps, step, ridge, k) / total, 2)
-        if np.abs(reached - before).max() < tolerance:
+        if np.all(np.abs(reached - target) <= tolerance * target):
             break
-        before = reached
-        steps.append(ahead - target)
-    return steps, step
+        if len(steps) == iterations:
+            dual, reached = _finish(slim, target, gram, total, DUAL_RIDGE)
+            break
+        steps.append(inverse @ (ahead - target))
+    logging.getLogger(__name__).info("shares of tokens reached %s, targets %s", reached.tolist(), target.tolist())
+    return steps, step, dual
+
+
+def rates(p: np.ndarray, steps: list[np.ndarray], step: float, dual: np.ndarray | None) -> np.ndarray:
+    """Rates of documents from what solve() gave."""
+    return replay(p, steps, step, RIDGE)[0] if dual is None else np.maximum(1 + p @ dual, 0)
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text", domain: Column | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: key, n_tokens, p_<domain> for each domain, rate, copies.
 
-    Over all documents, rate * n_tokens * p sums to the target share of all tokens for each domain, as far as
-    nonnegative rates allow. copies is rate, rounded up or down by a hash of the key so that its expectation is rate.
+    Over all documents, rate * n_tokens * p sums to the target share of all tokens for each domain, within
+    TOLERANCE of it or as far as nonnegative rates allow (rates of rare domains can be high). copies is rate, rounded up or down by a hash of the key so that its expectation is rate.
     A null text has no tokens and its rate is that of its posterior. Repeated rows have equal results; without
     labelled documents every posterior is uniform; an empty table gives no rows.
     """
@@ -172,12 +224,12 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] = TA
     target /= target.sum()
     classifier = train(docs, labels, key=key, text=text, domain=domain, domains=domains, rows=rows)
     slim = checkpoint(memberships(docs, classifier, key=key, text=text))
-    steps, step = solve(slim, target)
+    steps, step, dual = solve(slim, target)
     kind = slim.schema[key].dataType.simpleString()
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rate, _ = replay(_matrix(batch.column(2)), steps, step, RIDGE)
+            rate = rates(_matrix(batch.column(2)), steps, step, dual)
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["key", "n_tokens", "p", "rate"])
 
         return run

@@ -110,6 +110,21 @@ def test_mixture_of_labelled_documents(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+
+@pytest.mark.parametrize("share", [0.003, 0.0003, 0.0])
+def test_rare_domains_reach_their_targets(spark, share):
+    rng = np.random.default_rng(7)
+    n, target = 20_000, np.array([0.92, 0.02, 0.06])
+    p = np.eye(3)[rng.choice([0, 2], n, p=[0.8, 0.2])]
+    p[: round(share * n)] = [0, 1, 0]
+    if not share:  # only a posterior's remainder, in every document
+        p = p * 0.9 + 0.1 * rng.dirichlet([1, 0.02, 1], n)
+    tokens = rng.integers(20, 400, n)
+    slim = spark.createDataFrame([(int(a), b) for a, b in zip(tokens, p.tolist(), strict=True)], "n_tokens long, p array<double>").cache()
+    rate = mixing.rates(p, *mixing.solve(slim, target))
+    assert rate.min() >= 0 and np.all(abs((tokens * rate) @ p / tokens.sum() - target) <= 0.01 * target)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>Page title here</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li>About</li></ul></nav>
 <div class="cookie-notice">We use cookies on this site for all the usual reasons</div><div class="ad">Buy this now and save money today</div>{open}<h1>A &amp; B:
  the   news</h1><p>First para with <b>bold</b> and a <a href="/x">link in it</a> for you.<p>Second one, never closed &lt;here&gt;{inner}<ul><li>one item</li><li>two item</li></ul>{close}
