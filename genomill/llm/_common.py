@@ -17,16 +17,18 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset and all run on this machine, a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "genomill-checkpoints")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes the files when the plan is garbage."""
+    """Cut the lineage with a reliable checkpoint, whose files stay below the shared folder."""
     spark = df.sparkSession
     at = shared_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -39,11 +41,53 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/genomill-{kind}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The folders of one run of an operator, below the shared folder.
+
+    A table that is written and read again has its lineage cut and, unlike a checkpoint, real sizes for the planner.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def table(self, df: DataFrame, kind: str) -> DataFrame:
+        at = fresh_dir(self.spark, kind)
+        df.write.parquet(at)
+        self.made.append(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, at: str) -> None:
+        self.made.remove(at)
+        release(self.spark, at)
+
+    def done(self, df: DataFrame, kind: str) -> DataFrame:
+        """df written for the caller (its folder stays), everything else removed."""
+        at = fresh_dir(self.spark, kind)
+        df.write.parquet(at)
+        for x in self.made:
+            release(self.spark, x)
+        self.made = []
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions to ask for where a count has to be named."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def own(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as no column has (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def range_of(bounds: list[int], value: Column) -> Column:
     """How many of the ascending bounds are at most value, found by halving."""
     if not bounds:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from genomill.llm._chunks import byte_level
 from genomill.llm._common import checkpoint, trim
 
-PATTERN_ROWS_PER_LENGTH = 4096
+#: A rank table of more rows is joined with an exchange; it has as many rows as patterns have lengths, whatever the corpus.
+BROADCAST_ROWS = 100_000
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -90,23 +92,25 @@ def _measured(docs: DataFrame, tokenizer: str, key: str, text: str, capacity: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = byte_level(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        whole, wide, end = 0, capacity * 4, end_id.to_bytes(4, "little")
+        whole = 0
+        long = lambda x: pa.array(x, pa.int64())
         for batch in batches:
-            n, crcs, rank, wholes = [], [], [], []
-            for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
-                ids += end
-                rest = len(ids) % wide // 4
-                n.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[k : k + wide]) for k in range(0, len(ids), wide)])
-                rank.append(seen.get(rest, 0))
-                seen[rest] = rank[-1] + 1
-                wholes.append(whole)
-                whole += len(ids) // wide
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), long([part] * len(n)), long(n), long([x % capacity for x in n]), long(rank), long(wholes), pa.array(crcs, pa.list_(pa.int64()))],
-                ["key", "part", "n", "rest", "rank", "whole", "crcs"],
-            )
+            done = 0
+            for ids, bounds in encoder.encode(batch.column(1), end_id):
+                raw, n = memoryview(ids.astype("<u4")).cast("B"), np.diff(bounds)
+                rank, crcs = [], []
+                for low, high, rest in zip((bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist(), (n % capacity).tolist(), strict=True):
+                    crcs.append([zlib.crc32(raw[k : min(k + capacity * 4, high)]) for k in range(low, high, capacity * 4)])
+                    rank.append(seen.get(rest, 0))
+                    seen[rest] = rank[-1] + 1
+                full = n // capacity
+                wholes = whole + np.cumsum(full) - full
+                whole += int(full.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(done, len(n)), long([part] * len(n)), long(n), long(n % capacity), long(rank), long(wholes), pa.array(crcs, pa.list_(pa.int64()))],
+                    ["key", "part", "n", "rest", "rank", "whole", "crcs"],
+                )
+                done += len(n)
         trim()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -118,7 +122,8 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
 
     A document is its ids and end_id; a null or empty text is the end id alone. Repeated keys are separate documents
     (start counts within each), a null key stays null, no documents give no rows. Windows of packed items come first
-    in sequence_id, then the windows that one document fills alone. Only slim rows are shuffled, never ids, and no
+    in sequence_id, then the windows that one document fills alone. Other columns are not read, so their names can't
+    clash; a text of any length is one document. Only slim rows are shuffled, never ids, and no
     task gets a length's items together: ranks are a task's own plus the counts of the tasks before it.
     """
     spark = docs.sparkSession
@@ -130,16 +135,15 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     counts = checkpoint(items.unionByName(wholes).withColumn("earlier", F.coalesce(F.sum("here").over(before), F.lit(0))))
     by_length = {r.rest: r.n for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("here").alias("n")).collect()}
     rows, windows = rank_table(patterns(by_length, capacity))
-    assert len(rows) <= PATTERN_ROWS_PER_LENGTH * capacity
-    # Bounded by the capacity, not by the corpus: a pattern uses up one length or a part of its count.
     table = spark.createDataFrame(rows, "rest long, low long, high long, window long, per long, base long")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
     item = (
         measured.where("rest > 0")
         .select("key", "n", "part", "rest", "rank", F.expr("element_at(crcs, -1)").alias("crc"))
         .join(counts, ["part", "rest"])
         .withColumn("rank", F.col("rank") + F.col("earlier"))
-        .join(F.broadcast(table), "rest")
+        .join(table, "rest")
         .where("rank >= low and rank < high")
         .select(
             F.col("key").alias(key),

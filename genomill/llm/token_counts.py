@@ -9,14 +9,16 @@ as a pre-token has symbols.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from genomill.llm._chunks import MARKS, PLAIN, ByteLevelCutter, in_groups
+from genomill.llm._chunks import PLAIN, Store, flat, groups, pieces
 from genomill.llm._common import held, map_arrow
 
 NONE = np.int64(2**62)
@@ -105,48 +107,47 @@ def merge_counts(table: MergeTable, pretokens: list[bytes]) -> np.ndarray:
 
 
 class Counter:
-    """Token counts of texts; distinct pieces are merged once in a task, a batch of them at a time."""
+    """Token counts of texts; distinct pieces are merged once in a task, a group of them at a time."""
 
     def __init__(self, path: str):
         self.table, self.pre = MergeTable(path), Tokenizer.from_file(path).pre_tokenizer
-        self.cutter = ByteLevelCutter(self._missing, lambda xs, known: self._missing(xs, known, " "), self.whole)
-
-    def _pretokens(self, text: str) -> list[bytes]:
-        of = self.table.byte_of
-        return [bytes(map(of.__getitem__, s)) for s, _ in self.pre.pre_tokenize_str(text)]
-
-    def whole(self, text: str) -> int:
-        """Added tokens count as one each and cut the text around them, as the library does by default."""
-        found = [(text.find(s), -len(s), s) for s in self.table.special if s in text]
-        if found:
-            at, _, s = min(found)
-            return self.whole(text[:at]) + 1 + self.whole(text[at + len(s) :])
-        return int(merge_counts(self.table, self._pretokens(text)).sum())
-
-    def _missing(self, pieces: list[str], known: dict[str, int], before: str = "") -> dict[str, int]:
+        # Added tokens count as one each and cut the text around them, as the library does by default; the longest first.
+        self.special = re.compile("|".join(map(re.escape, sorted(self.table.special, key=len, reverse=True)))) if self.table.special else None
+        self.store = Store(self.missing)
+
+    def pretokens(self, text: str) -> tuple[list[bytes], int]:
+        """The pre-tokens of a piece, and how many added tokens stand between them."""
+        of, parts = self.table.byte_of, self.special.split(text) if self.special else [text]
+        return [bytes(map(of.__getitem__, s)) for x in parts if x for s, _ in self.pre.pre_tokenize_str(x)], len(parts) - 1
+
+    def missing(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """One number for each piece: its tokens. A plain word is a pre-token as it is."""
+        plain = pc.match_substring_regex(words.cast(pa.string()), PLAIN).to_numpy(zero_copy_only=False)
         number: dict[bytes, int] = {}
-        refs, owner, total = [], [], np.zeros(len(pieces), dtype=np.int64)
-        for k, x in enumerate(pieces):
-            core = x if x.isalpha() else x.rstrip(MARKS)
-            if core and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
-                if core in known:
-                    total[k] = known[core]
-                else:
-                    refs.append(number.setdefault((before + core).encode(), len(number)))
-                    owner.append(k)
-                if len(core) < len(x):
-                    refs.append(number.setdefault(x[len(core) :].encode(), len(number)))
-                    owner.append(k)
-            else:
-                for c in self._pretokens(before + x):
-                    refs.append(number.setdefault(c, len(number)))
-                    owner.append(k)
+        refs, owner, total = [], [], np.zeros(len(words), dtype=np.int64)
+        for k, (x, is_plain) in enumerate(zip(words.to_pylist(), plain.tolist(), strict=True)):
+            if is_plain:
+                refs.append(number.setdefault(x, len(number)))
+                owner.append(k)
+                continue
+            found, total[k] = self.pretokens(x.decode())
+            for c in found:
+                refs.append(number.setdefault(c, len(number)))
+                owner.append(k)
         if refs:
             np.add.at(total, owner, merge_counts(self.table, list(number))[refs])
-        return dict(zip(pieces, total.tolist(), strict=True))
+        return total, np.ones(len(words), dtype=np.int64)
 
-    def count(self, texts: list[str]) -> list[int]:
-        return in_groups(texts, lambda group: [sum(x) for x in self.cutter.values(group)])
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; null has none."""
+        raw, off = flat(texts)
+        out = [np.zeros(0, np.int64)]
+        for low, high in groups(off):
+            words, index, first = pieces(raw[off[low] : off[high]], off[low : high + 1] - off[low], True)
+            at = self.store.load(words)[index]
+            each = self.store.values[at].astype(np.int64)
+            out.append(np.diff(np.concatenate(([0], np.cumsum(each)))[first]))
+        return np.concatenate(out)
 
 
 def counter_of(path: str) -> Counter:
@@ -166,8 +167,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", key: st
         counter = counter_of(tokenizer)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(texts), pa.int64())], ["key", "n_tokens"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1)), pa.int64())], ["key", "n_tokens"])
 
         return run
 

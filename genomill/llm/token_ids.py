@@ -1,21 +1,25 @@
 """Token-ID / binary output (6): raw id shards with a minimal perfect hash index.
 
-A dataset is a folder with manifest.json and, for each shard k, two files:
-
-* shard-k.ids: the ids of the shard's documents one after another, unsigned little-endian, 2 or 4 bytes each;
-* shard-k.idx: MAGIC, four int64 (documents, distinct keys, buckets, first row of null keys or -1), then int64 arrays:
-  keys and end offsets (in ids) of the documents in order, and the index: a displacement for each bucket, and for each
-  of the slots the key's fingerprint, first row and number of rows.
-
-Shards hold ascending key ranges. The manifest has each shard's first and last key, documents, ids and first id
-number. A key is found by bisecting the manifest and then in constant time: its hash names a bucket, the bucket's
-displacement names the slot, the fingerprint tells strangers apart, and the row names the place in the payload.
+A dataset is a folder with manifest.json and, for each shard, two files that the manifest names:
+
+* NAME.ids: the ids of the shard's documents one after another, unsigned little-endian, 2 or 4 bytes each;
+* NAME.idx: MAGIC, four int64 (documents, distinct keys, buckets, rows of null keys), then int64 arrays: keys and end
+  offsets (in ids) of the documents in order, and the index: a displacement for each bucket, and for each of the slots
+  the key's fingerprint, first row and number of rows.
+
+Shards hold ascending key ranges of about SHARD_BYTES of text; a key with very many documents goes on in the next
+shards. The manifest has each shard's first and last key, documents, ids and first id number. A name holds its task's
+attempt, so a repeated task never touches another's files, and only files that the manifest names count: nothing is
+renamed, which object stores can't do at once. A key is found by bisecting the manifest and then with a constant number
+of small reads: its hash names a bucket, the bucket's displacement names the slot, the fingerprint tells strangers
+apart, and the row names the place in the payload.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomill.llm._chunks import word_level
-from genomill.llm._common import checkpoint, fresh_dir, partitions, range_of, release
+from genomill.llm._common import checkpoint, fresh_dir, partitions, release
 
 MAGIC = b"GMIDX001"
 BUCKET_KEYS = 4
+SHARD_BYTES = 64 << 20
+HEAD = len(MAGIC) + 32
 U = np.uint64
 
 
@@ -93,112 +99,128 @@ def _files(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _put(uri: str, name: str, chunks: Iterator[bytes], attempt: str) -> None:
-    """Write beside the target and rename, so a repeated task never leaves half a file."""
+def _put(uri: str, name: str, chunks: Iterator[bytes]) -> None:
     files, base = _files(uri)
-    temporary = f"{base}/.{name}.{attempt}"
-    with files.open_output_stream(temporary) as out:
+    with files.open_output_stream(f"{base}/{name}") as out:
         for x in chunks:
             out.write(x)
-    files.move(temporary, f"{base}/{name}")
 
 
 def write_ids(docs: DataFrame, tokenizer: str, uri: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, shards: int | None = None) -> dict:
     """Encode every whole text, append end_id, and write the dataset in ascending key order; return the manifest.
 
     A null text is empty (the end id alone); null keys come first and are not in the index; documents with one key
-    keep together, in no set order among them unless their texts differ (then by text). No rows give an empty dataset.
+    keep together in a fixed order by their texts' hash, over several shards where they are many. Other columns are not
+    read, so their names can't clash. A text of any length is one document. No rows give an empty dataset.
     """
     spark = docs.sparkSession
     files, base = _files(uri)
     files.create_dir(base, recursive=True)
-    shards = shards or partitions(spark)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(partitions(spark), math.ceil(size / SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = word_level(tokenizer), TaskContext.get()
-        dtype = np.dtype("<u2") if len(encoder.ends) <= 65536 and end_id < 65536 else np.dtype("<u4")
-        end, keys, ends, k = np.array([end_id], dtype="<u4").tobytes(), [], [0], task.partitionId()
+        dtype = np.dtype("<u2") if encoder.size <= 65536 and end_id < 65536 else np.dtype("<u4")
+        keys, ends, nulls, total = [], [np.zeros(1, np.int64)], 0, 0
 
         def payload() -> Iterator[bytes]:
+            nonlocal nulls, total
             for batch in batches:
-                keys.extend(batch.column(0).to_pylist())
-                for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
-                    ids += end
-                    ends.append(ends[-1] + len(ids) // 4)
-                    yield np.frombuffer(ids, dtype="<u4").astype(dtype).tobytes()
-
-        first = next(chunks := payload(), None)
+                own = batch.column(0)
+                nulls += own.null_count
+                keys.append(own.fill_null(0).to_numpy())
+                for ids, bounds in encoder.encode(batch.column(1), end_id):
+                    ends.append(bounds[1:] + total)
+                    total += len(ids)
+                    yield ids.astype(dtype).tobytes()
+
+        chunks = payload()
+        first = next(chunks, None)
         if first is None:
             return
-        attempt = str(task.taskAttemptId())
+        name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
 
         def all_chunks() -> Iterator[bytes]:
             yield first
             yield from chunks
 
-        _put(uri, f"shard-{k:06d}.ids", all_chunks(), attempt)
-        nulls = sum(x is None for x in keys)
-        own = np.array(keys[nulls:], dtype=np.int64)
+        _put(uri, f"{name}.ids", all_chunks())
+        stored = np.concatenate(keys).astype("<i8")
+        own = stored[nulls:]
         distinct, row, count = np.unique(own, return_index=True, return_counts=True)
         index = PerfectHash.build(distinct)
-        slot = index.slot(distinct)
         table = np.zeros((len(distinct), 3), dtype=np.int64)
-        table[slot] = np.stack([mix(distinct, FINGERPRINT_SEED).view(np.int64), row + nulls, count], axis=1) if len(distinct) else table
-        head = np.array([len(keys), len(distinct), len(index.seeds), nulls], dtype="<i8")
-        stored = np.array([0] * nulls + keys[nulls:], dtype="<i8")
-        _put(uri, f"shard-{k:06d}.idx", iter([MAGIC, head.tobytes(), stored.tobytes(), np.array(ends, dtype="<i8").tobytes(), index.seeds.astype("<i8").tobytes(), table.astype("<i8").tobytes()]), attempt)
+        if len(distinct):
+            table[index.slot(distinct)] = np.stack([mix(distinct, FINGERPRINT_SEED).view(np.int64), row + nulls, count], axis=1)
+        head = np.array([len(stored), len(distinct), len(index.seeds), nulls], dtype="<i8")
+        _put(uri, f"{name}.idx", (x.astype("<i8").tobytes() if isinstance(x, np.ndarray) else x for x in (MAGIC, head, stored, np.concatenate(ends), index.seeds, table)))
         low, high = (int(own[0]), int(own[-1])) if len(own) else (None, None)
-        yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(keys)], "ids": [ends[-1]], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "width": [dtype.itemsize]})
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    # The ranges come from the keys alone; a range's number is its partition's.
-    bounds = docs.select(F.percentile_approx(F.col(key).cast("long"), [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0]
-    rows = rows.withColumn("shard", F.coalesce(range_of(sorted(set(bounds or []))[: shards - 1], F.col("key")), F.lit(0)))
-    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text").select("key", "text")
-    done = dealt.mapInArrow(run, "shard long, docs long, ids long, low long, high long, width long")
+        yield pa.RecordBatch.from_pydict(
+            {"shard": [task.partitionId()], "name": [name], "docs": [len(stored)], "ids": [total], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "width": [dtype.itemsize]}
+        )
+
+    # Ranges of the key alone would put all documents of one key, or without one, into one shard; the text's hash and
+    # the place that a row was read from (for rows repeated as they are) split them.
+    order = [F.col("key").asc_nulls_first(), F.col("h").asc(), F.col("at").asc()]
+    dealt = rows.withColumns({"h": F.xxhash64("text"), "at": F.spark_partition_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
+    done = dealt.mapInArrow(run, "shard long, name string, docs long, ids long, low long, high long, width long")
     parts, start = [], 0  # one small row for each shard
     for r in sorted(done.collect(), key=lambda r: r.shard):
         parts.append(r.asDict() | {"start": start})
         start += r.ids
     manifest = {"end_id": end_id, "shards": parts, "ids": start}
-    _put(uri, "manifest.json", iter([json.dumps(manifest).encode()]), "driver")
+    _put(uri, "manifest.json", iter([json.dumps(manifest).encode()]))
     return manifest
 
 
 class Shard:
-    """One shard's index and payload, read from the files."""
+    """One shard's index and payload; a single key takes a constant number of small reads."""
 
-    def __init__(self, uri: str, shard: int, width: int):
+    def __init__(self, uri: str, name: str, width: int):
         self.files, base = _files(uri)
-        self.payload, self.dtype = f"{base}/shard-{shard:06d}.ids", np.dtype(f"<u{width}")
-        with self.files.open_input_file(f"{base}/shard-{shard:06d}.idx") as f:
-            raw = f.read()
-        if raw[: len(MAGIC)] != MAGIC:
-            raise ValueError(f"shard {shard}: not an index file")
-        v = np.frombuffer(raw, dtype="<i8", offset=len(MAGIC))
-        docs, distinct, buckets, self.nulls = map(int, v[:4])
-        cut = np.cumsum([4, docs, docs + 1, buckets])
-        self.keys, self.ends = v[cut[0] : cut[1]], v[cut[1] : cut[2]]
-        self.hash, self.table = PerfectHash(v[cut[2] : cut[3]], distinct), v[cut[3] :].reshape(distinct, 3)
+        self.payload, self.dtype = f"{base}/{name}.ids", np.dtype(f"<u{width}")
+        self.index = self.files.open_input_file(f"{base}/{name}.idx")
+        head = self.index.read_at(HEAD, 0)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError(f"{name}: not an index file")
+        docs, self.distinct, buckets, self.nulls = np.frombuffer(head, "<i8", offset=len(MAGIC)).tolist()
+        self.docs, self.buckets = docs, buckets
+        self.keys_at, self.ends_at, self.seeds_at, self.table_at = (0, docs, 2 * docs + 1, 2 * docs + 1 + buckets)
+
+    def read(self, at: int, n: int) -> np.ndarray:
+        """n numbers of the index file's arrays, from the at-th on."""
+        return np.frombuffer(self.index.read_at(8 * n, HEAD + 8 * at), dtype="<i8")
 
     def rows(self, key: int) -> range:
         """The rows of a key in this shard; none for a key that it hasn't."""
-        if not self.hash.slots:
+        if not self.distinct:
             return range(0)
         k = np.array([key], dtype=np.int64)
-        mark, row, count = map(int, self.table[self.hash.slot(k)[0]])
+        seed = self.read(self.seeds_at + int(mix(k, 0)[0] % U(self.buckets)), 1)
+        mark, row, count = self.read(self.table_at + 3 * int(mix(k, seed)[0] % U(self.distinct)), 3).tolist()
         # The stored key settles the rare stranger with an equal fingerprint.
-        if mark != int(mix(k, FINGERPRINT_SEED).view(np.int64)[0]) or int(self.keys[row]) != key:
+        if mark != int(mix(k, FINGERPRINT_SEED).view(np.int64)[0]) or int(self.read(self.keys_at + row, 1)[0]) != key:
             return range(0)
         return range(row, row + count)
 
-    def ids(self, row: int, f=None) -> np.ndarray:
-        low, high = int(self.ends[row]), int(self.ends[row + 1])
-        if f is None:
-            with self.files.open_input_file(self.payload) as f:
-                return self.ids(row, f)
-        f.seek(low * self.dtype.itemsize)
-        return np.frombuffer(f.read((high - low) * self.dtype.itemsize), dtype=self.dtype)
+    def ids(self, row: int) -> np.ndarray:
+        low, high = self.read(self.ends_at + row, 2).tolist()
+        with self.files.open_input_file(self.payload) as f:
+            return np.frombuffer(f.read_at((high - low) * self.dtype.itemsize, low * self.dtype.itemsize), dtype=self.dtype)
+
+    def everything(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, end offsets, rows in order as the index finds them: those without a key, then each distinct key's)."""
+        keys, ends = self.read(self.keys_at, self.docs), self.read(self.ends_at, self.docs + 1)
+        distinct = np.unique(keys[self.nulls :])
+        found = PerfectHash(self.read(self.seeds_at, self.buckets), self.distinct)
+        mark, row, count = self.read(self.table_at, 3 * self.distinct).reshape(-1, 3)[found.slot(distinct)].T if len(distinct) else np.zeros((3, 0), np.int64)
+        if (mark != mix(distinct, FINGERPRINT_SEED).view(np.int64)).any():
+            raise ValueError("an index misses a key of its own")
+        steps = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return keys, ends, np.concatenate((np.arange(self.nulls), np.repeat(row, count) + steps)).astype(np.int64)
 
 
 class IdStore:
@@ -210,18 +232,19 @@ class IdStore:
         with files.open_input_file(f"{base}/manifest.json") as f:
             self.manifest = json.loads(f.read())
         self.parts = [p for p in self.manifest["shards"] if p["low"] is not None]
-        self.lows, self.open = [p["low"] for p in self.parts], {}
+        self.highs, self.open = [p["high"] for p in self.parts], {}
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document with this key; an empty list if there is none."""
-        at = bisect.bisect_right(self.lows, key) - 1
-        if at < 0 or key > self.parts[at]["high"]:
-            return []
-        p = self.parts[at]
-        if p["shard"] not in self.open:
-            self.open = {p["shard"]: Shard(self.uri, p["shard"], p["width"])}
-        shard = self.open[p["shard"]]
-        return [shard.ids(r) for r in shard.rows(key)]
+        out = []
+        for p in self.parts[bisect.bisect_left(self.highs, key) :]:
+            if p["low"] > key:
+                break
+            if p["name"] not in self.open:
+                self.open = {p["name"]: Shard(self.uri, p["name"], p["width"])}
+            shard = self.open[p["name"]]
+            out += [shard.ids(r) for r in shard.rows(key)]
+        return out
 
 
 def read_ids(spark: SparkSession, uri: str, manifest: dict, *, key: str = "doc_id") -> DataFrame:
@@ -229,20 +252,17 @@ def read_ids(spark: SparkSession, uri: str, manifest: dict, *, key: str = "doc_i
 
     Each task reads one shard and finds its documents through the shard's index.
     """
-    parts = spark.createDataFrame([(p["shard"], p["width"], p["start"]) for p in manifest["shards"]], "shard long, width long, start long")
+    parts = spark.createDataFrame([(p["name"], p["width"], p["start"]) for p in manifest["shards"]], "name string, width long, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, width, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = Shard(uri, shard, width)
-                order = [*range(own.nulls), *(r for k in np.unique(own.keys[own.nulls :]).tolist() for r in own.rows(k))]
-                keys = [None if r < own.nulls else int(own.keys[r]) for r in order]
+            for name, width, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = Shard(uri, name, width)
+                keys, ends, order = own.everything()
+                low, high = ends[order], ends[order + 1]
                 with own.files.open_input_file(own.payload) as f:
-                    crcs = [zlib.crc32(own.ids(r, f).astype("<u4").tobytes()) for r in order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(start + own.ends[order]), pa.array(own.ends[[r + 1 for r in order]] - own.ends[order]), pa.array(crcs, pa.int64())],
-                    ["key", "start", "n_tokens", "ids_crc32"],
-                )
+                    crcs = [zlib.crc32(np.frombuffer(f.read_at((b - a) * width, a * width), dtype=own.dtype).astype("<u4")) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order], mask=order < own.nulls), pa.array(start + low), pa.array(high - low), pa.array(crcs, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
     out = parts.repartition(max(1, len(manifest["shards"]))).mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("key", key)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -29,14 +30,17 @@ def texts(n: int = 400) -> list[str]:
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, ByteLevelEncoder), (WORD, WordEncoder)])
 def test_pieces_give_the_library_ids(path, kind):
     own, library = kind(path), Tokenizer.from_file(path)
-    got = own.encode(texts()) + own.encode(texts())
-    want = [np.asarray(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts()] * 2
-    assert got == want
+    many = [*texts(), None] * 2
+    got = [ids[a:b].tolist() for ids, at in own.encode(pa.array(many).slice(1)) for a, b in zip(at, at[1:], strict=False)]
+    ends = [ids[a:b].tolist() for ids, at in own.encode(pa.array(many, pa.large_string()), 1) for a, b in zip(at, at[1:], strict=False)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in many]
+    assert got == want[1:] and ends == [[*x, 1] for x in want]
 
 
 def test_merging_counts_what_the_library_gives():
     library = Tokenizer.from_file(BYTE)
-    assert Counter(BYTE).count(texts()) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts()]
+    many = [*texts(), "<|endoftext|> a" * 3000]
+    assert Counter(BYTE).count(pa.array(many)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in many]
 
 
 def docs(spark, rows):
@@ -123,4 +127,10 @@ def test_ids_round_trip_and_keyed_access(spark, tmp_path):
     assert store.get(-5)[0].tolist() == [1]
     assert sorted(x.tolist() for x in store.get(21)) == sorted([ids("same key"), ids(texts(60)[3])])
     assert store.get(22) == [] and store.get(10**9) == []
+    # Documents of one key go on in further shards.
+    hot = [(9, f"text {i}") for i in range(300)] + [(8, "a"), (10, "b")]
+    manifest = write_ids(docs(spark, hot), WORD, f"{uri}-hot", shards=4)
+    assert sum(p["low"] == 9 or p["high"] == 9 for p in manifest["shards"]) > 2
+    store = IdStore(f"{uri}-hot")
+    assert sorted(x.tolist() for x in store.get(9)) == sorted(ids(t) for k, t in hot if k == 9) and store.get(10)[0].tolist() == ids("b")
     assert round_trip(docs(spark, []), WORD).count() == 0
