@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CALL = "struct<a1:int,a2:int,ploidy:int,phased:boolean,dp:int,gq:int,ft:string,raw:string,masked:boolean>"
 SITE = f"ordinal bigint, chrom string, pos int, id string, alleles array<string>, qual double, filters array<string>, info string, info_keys array<string>, format array<string>, calls array<{CALL}>"
 
 
+def settled(df: DataFrame, streaming: bool = False) -> DataFrame:
+    """df, whose columns filters above don't compute again for each of their uses.
+
+    No filter is pushed below a projection with a nondeterministic column that is asked for. A stream allows no row
+    numbers, so there a random column that passes always takes their place.
+    """
+    return df.withColumn("__stay", F.rand(0) if streaming else F.monotonically_increasing_id()).where("__stay >= 0").drop("__stay")
+
+
 def lit_set(names) -> Column:
     return F.array(*(F.lit(x) for x in sorted(names)))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.functions.calls import count_columns, lit_set, mask_reason, ratio, site_columns
+from genomill.functions.calls import count_columns, lit_set, mask_reason, ratio, settled, site_columns
 from genomill.functions.hwe import exact_test
 from genomill.operators.thin import thinned
 from genomill.spec import QuerySpec
@@ -100,25 +100,20 @@ def masked(sites: DataFrame, spec: QuerySpec) -> DataFrame:
     return sites.withColumn("calls", F.transform("calls", lambda c: c.withField("masked", c["masked"] | reason(c, has("GQ"), has("DP")))))
 
 
-def summarized(sites: DataFrame) -> DataFrame:
-    """sites with the per-site aggregates, all within the row."""
-    return sites.withColumns(site_columns()).withColumns(count_columns())
+def summarized(sites: DataFrame, streaming: bool = False) -> DataFrame:
+    """sites with the per-site aggregates, all within the row and computed once for every filter and output on them."""
+    return settled(sites.withColumns(site_columns()).withColumns(count_columns()), streaming)
 
 
 def kept_sites(sites: DataFrame, spec: QuerySpec, streaming: bool = False) -> DataFrame:
-    """Sites that pass all filters, masked and summarized.
-
-    Aggregates are projected once and the filter on them stays above: pushed down it would compute them again. A
-    stream allows no row numbers, so there a random column that passes always holds the filter in place.
-    """
+    """Sites that pass all filters, masked and summarized."""
     record, calls = record_predicates(spec), call_predicates(spec)
     if record:
         sites = sites.where(reduce(lambda a, b: a & b, record))
-    sites = summarized(masked(sites, spec))
-    if calls or spec.hwe is not None:
-        sites = sites.withColumn("__stay", F.rand(0) if streaming else F.monotonically_increasing_id())
-        if spec.hwe is not None:
-            sites = sites.withColumn("__hwe", exact_test(F.col("n_het"), F.col("n_hom_ref"), F.col("n_complete") - F.col("n_het") - F.col("n_hom_ref"))["p"])
-            calls.append(F.col("__hwe") >= spec.hwe)
-        sites = sites.where(reduce(lambda a, b: a & b, calls, F.col("__stay") >= 0)).drop("__stay", "__hwe")
+    sites = summarized(masked(sites, spec), streaming)
+    if spec.hwe is not None:
+        sites = sites.withColumn("__hwe", exact_test(F.col("n_het"), F.col("n_hom_ref"), F.col("n_complete") - F.col("n_het") - F.col("n_hom_ref"))["p"])
+        calls.append(F.col("__hwe") >= spec.hwe)
+    if calls:
+        sites = sites.where(reduce(lambda a, b: a & b, calls)).drop("__hwe")
     return thinned(sites, spec.thin) if spec.thin and spec.thin >= 1 else sites

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.functions.calls import complete, live, ratio
+from genomill.functions.calls import complete, live, ratio, settled
 from genomill.operators.windows import bins
 
 
@@ -56,8 +56,7 @@ def site_fst(sites: DataFrame, populations: Sequence[Sequence[int]]) -> DataFram
 def window_fst(sites: DataFrame, populations: Sequence[Sequence[int]], size: int, step: int | None = None) -> DataFrame:
     """chrom, bin_start, bin_end, n_variants, weighted_fst, mean_fst over sites whose F_ST is a number."""
     step = size if not step or step <= 0 or step > size else step
-    # The filter must stay above the site's F_ST, which it would compute again and again if pushed below.
-    ok = site_fst(sites, populations).withColumn("stay", F.monotonically_increasing_id()).where((F.col("stay") >= 0) & ~F.isnan("fst") & (F.abs("fst") != float("inf")))
+    ok = settled(site_fst(sites, populations)).where(~F.isnan("fst") & (F.abs("fst") != float("inf")))
     out = ok.select("chrom", F.explode(bins(F.col("pos"), size, step)).alias("bin"), "num", "den", "fst").groupBy("chrom", "bin")
     out = out.agg(F.count("*").alias("n_variants"), F.sum("num").alias("num"), F.sum("den").alias("den"), F.avg("fst").alias("mean_fst")).where("den <> 0 and not isnan(den)")
     start = F.col("bin") * step

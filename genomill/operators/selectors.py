@@ -61,3 +61,12 @@ def in_intervals(sites: DataFrame, bed: DataFrame, keep: bool, bin_size: int = 1
     right = F.broadcast(right) if small(right) else right
     met = hits.join(right, (hits["chrom"] == right["__chrom"]) & (hits["__bin"] == right["__b"]) & (right["start"] < hits["__end"]) & (right["end"] >= hits["pos"]), "left_semi")
     return sites.join(met.select("ordinal").distinct(), "ordinal", "left_semi" if keep else "left_anti")
+
+
+def beside(sites: DataFrame, positions: DataFrame | None = None, exclude_positions: DataFrame | None = None, bed: DataFrame | None = None, exclude_bed: DataFrame | None = None) -> DataFrame:
+    """sites after those of the side tables that there are."""
+    for side, keep in ((positions, True), (exclude_positions, False)):
+        sites = sites if side is None else at_positions(sites, side, keep)
+    for side, keep in ((bed, True), (exclude_bed, False)):
+        sites = sites if side is None else in_intervals(sites, side, keep)
+    return sites

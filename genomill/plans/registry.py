@@ -172,6 +172,18 @@ output(
     "round((dp_sq / dp_n::DOUBLE - (dp_sum / dp_n::DOUBLE) * (dp_sum / dp_n::DOUBLE)) * dp_n / (dp_n - 1), 6) END AS var_depth FROM kept",
     lambda c: rounded(site_stats.site_mean_depth(c.sites).drop("ordinal"), "mean_depth", "var_depth"),
 )
+output("site_depth_corrected", "SELECT chrom, pos, dp_sum AS sum_depth, dp_sq AS sumsq_depth FROM kept", lambda c: site_stats.site_depth(c.sites, True).drop("ordinal"))
+DEEPER, WRAP_SQL = 40_000, "SELECT chrom, pos, dp_sum * 40000 % 4294967296 AS sum_depth, dp_sq * 1600000000 % 4294967296 AS sumsq_depth FROM kept"
+
+
+def _deeper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths so great that the sums pass 32 bits."""
+    own = calls(spark, sf_dir)
+    sites = own.sites.withColumn("calls", F.transform("calls", lambda x: x.withField("dp", F.when(x["dp"] >= 0, x["dp"] * DEEPER).otherwise(x["dp"]))))
+    return site_stats.site_depth(CallSet(sites, own.samples).kept(QuerySpec(min_gq=10.0)).sites).drop("ordinal")
+
+
+register("site_depth_wrapped", query(WRAP_SQL, mask="gq < 10"))(_deeper)
 output("site_quality", "SELECT chrom, pos, qual FROM kept", lambda c: site_stats.site_quality(c.sites).drop("ordinal"))
 output("site_pi", "SELECT chrom, pos, CASE WHEN n_chr > 1 THEN round(mism / (n_chr * (n_chr - 1))::DOUBLE, 6) END AS pi FROM kept WHERE fully_diploid", lambda c: rounded(site_stats.site_pi(c.sites).drop("ordinal"), "pi"))
 
@@ -281,6 +293,9 @@ output("geno_r2", "SELECT * FROM r2", lambda c: rounded(ld.geno_r2(c.sites, wind
 output(
     "geno_r2_windowed", "SELECT * FROM r2 WHERE r2 >= 0.2", lambda c: rounded(ld.geno_r2(c.sites, bp=400, bp_min=50, min_r2=0.2), "r2"), where="n_alleles = 2", more=LD_SQL.format(cond="b.i > a.i AND b.pos - a.pos BETWEEN 50 AND 400")
 )
+LD_ALL = {"chroms": frozenset(["chr2"]), "to_bp": 12_000}
+output("geno_r2_all", "SELECT * FROM r2", lambda c: rounded(ld.geno_r2(c.sites), "r2"), where="n_alleles = 2 AND chrom = 'chr2' AND pos <= 12000", more=LD_SQL.format(cond="b.i > a.i"), **LD_ALL)
+output("geno_r2_min", "SELECT * FROM r2", lambda c: rounded(ld.geno_r2(c.sites, window=5, window_min=3), "r2"), where="n_alleles = 2", more=LD_SQL.format(cond="b.i - a.i BETWEEN 3 AND 5"))
 
 
 def _filled(c: CallSet) -> CallSet:
@@ -289,21 +304,25 @@ def _filled(c: CallSet) -> CallSet:
     return CallSet(c.sites.withColumn("calls", whole), c.samples)
 
 
-def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _filled(calls(spark, sf_dir)).kept(QuerySpec())
-    return rounded(pca.gram(own.sites, len(own.samples)), "value").select("i", "j", "value")
+def _gram(normalize: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = _filled(calls(spark, sf_dir)).kept(QuerySpec())
+        return rounded(pca.gram(own.sites, len(own.samples), normalize), "value").select("i", "j", "value")
+
+    return run
 
 
-register(
-    "pca_gram",
-    query(
-        "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, round(sum(a.x * b.x) / any_value(a.m), 6) AS value FROM std a JOIN std b USING (site_id) GROUP BY a.r, b.r",
-        where="n_alleles = 2",
-        more="""full0 AS (SELECT site_id, s, dense_rank() OVER (ORDER BY s) - 1 AS r, CASE WHEN a1 > 0 THEN 1 ELSE 0 END + CASE WHEN a2 > 0 THEN 1 ELSE 0 END AS g FROM v JOIN (SELECT site_id AS site_id FROM kept) USING (site_id)),
+for _name, _scale in (("pca_gram", " / sqrt(p * (1 - p))"), ("pca_gram_no_norm", "")):
+    register(
+        _name,
+        query(
+            "SELECT CAST(a.r AS BIGINT) AS i, CAST(b.r AS BIGINT) AS j, round(sum(a.x * b.x) / any_value(a.m), 6) AS value FROM std a JOIN std b USING (site_id) GROUP BY a.r, b.r",
+            where="n_alleles = 2",
+            more=f"""full0 AS (SELECT site_id, s, dense_rank() OVER (ORDER BY s) - 1 AS r, CASE WHEN a1 > 0 THEN 1 ELSE 0 END + CASE WHEN a2 > 0 THEN 1 ELSE 0 END AS g FROM v JOIN (SELECT site_id AS site_id FROM kept) USING (site_id)),
 freqs AS (SELECT site_id, avg(g) / 2 AS p FROM full0 GROUP BY site_id),
-std AS (SELECT site_id, r, (g - 2 * p) / sqrt(p * (1 - p)) AS x, (SELECT count(*) FROM freqs WHERE p > 0 AND p < 1) AS m FROM full0 JOIN freqs USING (site_id) WHERE p > 0 AND p < 1)""",
-    ),
-)(_gram)
+std AS (SELECT site_id, r, (g - 2 * p){_scale} AS x, (SELECT count(*) FROM freqs WHERE p > 0 AND p < 1) AS m FROM full0 JOIN freqs USING (site_id) WHERE p > 0 AND p < 1)""",
+        ),
+    )(_gram(not _name.endswith("no_norm")))
 
 
 @register("pca", None)
@@ -312,27 +331,35 @@ def _pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.pca(own.sites, own.samples)
 
 
-def _recoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = calls(spark, sf_dir)
+def _written(own: CallSet) -> CallSet:
+    """The call set with the fields that only text has: raw calls, quality and INFO as they would be read."""
     sep = lambda x: F.when(x["phased"], "|").otherwise("/")
     shown = lambda a: F.coalesce(a.cast("string"), F.lit("."))
     raw = lambda x: F.concat(shown(x["a1"]), F.when(x["ploidy"] == 2, F.concat(sep(x), shown(x["a2"]))).otherwise(""), F.lit(":"), shown(F.when(x["dp"] >= 0, x["dp"])), F.lit(":"), shown(F.when(x["gq"] >= 0, x["gq"])), F.lit(":"), x["ft"])
     sites = own.sites.withColumn("calls", F.transform("calls", lambda x: x.withField("raw", raw(x)))).withColumn("qual_raw", F.when(F.col("qual") >= 0, F.col("qual").cast("int").cast("string")).otherwise("."))
-    kept = CallSet(sites, own.samples).kept(QuerySpec(min_gq=10.0, min_q=30.0)).sites
-    return recode(kept).select(F.col("ordinal").alias("site_id"), "line")
-
-
-register(
-    "recode_rows",
-    query(
-        "SELECT kept.site_id, concat_ws(chr(9), kept.chrom, CAST(kept.pos AS VARCHAR), '.', kept.ref, CASE WHEN kept.n_alleles = 3 THEN 'C,G' ELSE 'C' END, CASE WHEN kept.qual >= 0 THEN CAST(CAST(kept.qual AS INTEGER) AS VARCHAR) ELSE '.' END, "
-        "CASE kept.fl WHEN 0 THEN 'PASS' WHEN 1 THEN '.' WHEN 2 THEN 'q10' ELSE 'q10;s50' END, '.', 'GT:DP:GQ:FT', cells) AS line FROM kept JOIN shown USING (site_id)",
-        where="qual >= 30",
-        mask="gq < 10",
-        more="""shown AS (SELECT site_id, string_agg(concat(CASE WHEN masked THEN './.' ELSE concat(coalesce(CAST(a1 AS VARCHAR), '.'), CASE WHEN ploidy = 2 THEN concat(CASE WHEN phased THEN '|' ELSE '/' END, coalesce(CAST(a2 AS VARCHAR), '.')) ELSE '' END) END,
+    return CallSet(sites.withColumn("info", F.when(F.size("info_keys") == 0, ".").otherwise(F.array_join("info_keys", ";"))), own.samples)
+
+
+def _recoded(info_all: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept = _written(calls(spark, sf_dir)).kept(QuerySpec(min_gq=10.0, min_q=30.0)).sites
+        return recode(kept, info_all).select(F.col("ordinal").alias("site_id"), "line")
+
+    return run
+
+
+for _name, _info in (("recode_rows", "'.'"), ("recode_info_all", "CASE WHEN db AND h2 THEN 'DB;H2' WHEN db THEN 'DB' WHEN h2 THEN 'H2' ELSE '.' END")):
+    register(
+        _name,
+        query(
+            "SELECT kept.site_id, concat_ws(chr(9), kept.chrom, CAST(kept.pos AS VARCHAR), '.', kept.ref, CASE WHEN kept.n_alleles = 3 THEN 'C,G' ELSE 'C' END, CASE WHEN kept.qual >= 0 THEN CAST(CAST(kept.qual AS INTEGER) AS VARCHAR) ELSE '.' END, "
+            f"CASE kept.fl WHEN 0 THEN 'PASS' WHEN 1 THEN '.' WHEN 2 THEN 'q10' ELSE 'q10;s50' END, {_info}, 'GT:DP:GQ:FT', cells) AS line FROM kept JOIN shown USING (site_id)",
+            where="qual >= 30",
+            mask="gq < 10",
+            more="""shown AS (SELECT site_id, string_agg(concat(CASE WHEN masked THEN './.' ELSE concat(coalesce(CAST(a1 AS VARCHAR), '.'), CASE WHEN ploidy = 2 THEN concat(CASE WHEN phased THEN '|' ELSE '/' END, coalesce(CAST(a2 AS VARCHAR), '.')) ELSE '' END) END,
   ':', CASE WHEN dp >= 0 THEN CAST(dp AS VARCHAR) ELSE '.' END, ':', CASE WHEN gq >= 0 THEN CAST(gq AS VARCHAR) ELSE '.' END, ':', ft), chr(9) ORDER BY s) AS cells FROM v GROUP BY site_id)""",
-    ),
-)(_recoded)
+        ),
+    )(_recoded(_name == "recode_info_all"))
 
 DIFF_SQL = """
 gt AS (
@@ -342,29 +369,44 @@ gt AS (
 """
 
 
-def comparison(name: str, sql: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+def comparison(name: str, output: str, sql: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d, more: str = "", sides: Callable | None = None, other: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+    """A comparison of the call set with its second copy, whose sites other may change."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = {"diff_site": "diff_site", "diff_indv": "diff_indv", "diff_site_disc": "diff_site_discordance", "diff_indv_disc": "diff_indv_discordance"}[name]
         a, b = calls(spark, sf_dir), calls(spark, sf_dir, 2)
-        return finish(compare(a, b, QuerySpec(outputs=(key,)))[key])
+        own = {k: f(spark) for k, f in (sides() if sides else {}).items()}
+        return finish(compare(a, CallSet(other(b.sites), b.samples), QuerySpec(outputs=(output,)), **own)[output])
 
-    register(name, two_sets(sql, DIFF_SQL))(run)
+    register(name, two_sets(sql, DIFF_SQL.rstrip() + (f",\n{more}\n" if more else "\n")))(run)
 
 
-comparison(
-    "diff_site_disc",
+SITE_DISC = (
     "SELECT a.chrom, a.pos, CASE WHEN b.site_id IS NULL THEN '1' ELSE 'B' END AS files, CASE WHEN b.site_id IS NULL THEN 0 ELSE 1 END AS matching_alleles, CAST(coalesce(g.n, 0) AS BIGINT) AS n_common_called, CAST(coalesce(g.d, 0) AS BIGINT) AS n_discord, "
-    "CASE WHEN coalesce(g.n, 0) > 0 THEN round(g.d / CAST(g.n AS DOUBLE), 6) END AS discordance FROM site1 a LEFT JOIN site2 b USING (site_id) LEFT JOIN (SELECT site_id, count(*) FILTER (called) AS n, count(*) FILTER (called AND differ) AS d FROM gt GROUP BY site_id) g USING (site_id)",
-    lambda d: rounded(d, "discordance"),
+    "CASE WHEN coalesce(g.n, 0) > 0 THEN round(g.d / CAST(g.n AS DOUBLE), 6) END AS discordance FROM site1 a LEFT JOIN site2 b USING (site_id) LEFT JOIN (SELECT site_id, count(*) FILTER (called) AS n, count(*) FILTER (called AND differ) AS d FROM gt GROUP BY site_id) g USING (site_id)"
 )
-comparison(
-    "diff_indv_disc",
-    f"SELECT {SAMPLE}, CAST(count(*) FILTER (called) AS BIGINT) AS n_common_called, CAST(count(*) FILTER (called AND differ) AS BIGINT) AS n_discord, round(count(*) FILTER (called AND differ) / CAST(count(*) FILTER (called) AS DOUBLE), 6) AS discordance FROM gt GROUP BY s",
-    lambda d: rounded(d, "discordance"),
+INDV_DISC = f"SELECT {SAMPLE}, CAST(count(*) FILTER (called) AS BIGINT) AS n_common_called, CAST(count(*) FILTER (called AND differ) AS BIGINT) AS n_discord, round(count(*) FILTER (called AND differ) / CAST(count(*) FILTER (called) AS DOUBLE), 6) AS discordance FROM gt"
+PRESENCE = (
+    "SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, CASE WHEN b.site_id IS NULL THEN '1' {clash}ELSE 'B' END AS in_file, a.ref AS ref1, coalesce({ref2}, '.') AS ref2, CASE WHEN a.n_alleles = 3 THEN 'C,G' ELSE 'C' END AS alt1, "
+    "CASE WHEN b.site_id IS NULL THEN '.' WHEN b.n_alleles = 3 THEN 'C,G' ELSE 'C' END AS alt2 FROM site1 a LEFT JOIN site2 b USING (site_id)"
 )
-comparison("diff_indv", f"SELECT {SAMPLE}, 'B' AS files FROM smp")
+DISCORDANCE = lambda d: rounded(d, "discordance")
+comparison("diff_site_disc", "diff_site_discordance", SITE_DISC, DISCORDANCE)
+comparison("diff_indv_disc", "diff_indv_discordance", INDV_DISC + " GROUP BY s", DISCORDANCE)
+comparison("diff_indv", "diff_indv", f"SELECT {SAMPLE}, 'B' AS files FROM smp")
+comparison("diff_site", "diff_site", PRESENCE.format(clash="", ref2="b.ref"))
+# Both copies have the same sites but for those that the second lacks, so a filter of the first is one of both.
+A_POSITION, A_BED = "(a.chrom, a.pos) IN (SELECT chrom, pos FROM posn)", BED_HIT.replace("kept.", "a.")
+comparison("diff_site_positions", "diff_site", PRESENCE.format(clash="", ref2="b.ref") + f" WHERE {A_POSITION}", more=POSITIONS_SQL, sides=lambda: {"positions": _positions})
+comparison("diff_site_excl_bed", "diff_site", PRESENCE.format(clash="", ref2="b.ref") + f" WHERE NOT {A_BED}", more=BED_SQL, sides=lambda: {"exclude_bed": _bed})
+comparison("diff_site_disc_bed", "diff_site_discordance", SITE_DISC + f" WHERE {A_BED}", DISCORDANCE, more=BED_SQL, sides=lambda: {"bed": _bed})
 comparison(
-    "diff_site",
-    "SELECT a.chrom, a.pos AS pos1, b.pos AS pos2, CASE WHEN b.site_id IS NULL THEN '1' ELSE 'B' END AS in_file, a.ref AS ref1, coalesce(b.ref, '.') AS ref2, CASE WHEN a.n_alleles = 3 THEN 'C,G' ELSE 'C' END AS alt1, "
-    "CASE WHEN b.site_id IS NULL THEN '.' WHEN b.n_alleles = 3 THEN 'C,G' ELSE 'C' END AS alt2 FROM site1 a LEFT JOIN site2 b USING (site_id)",
+    "diff_indv_disc_excl_positions", "diff_indv_discordance", INDV_DISC + " WHERE (chrom, pos) NOT IN (SELECT chrom, pos FROM posn) GROUP BY s", DISCORDANCE, more=POSITIONS_SQL, sides=lambda: {"exclude_positions": _positions}
 )
+
+
+def _other_references(sites: DataFrame) -> DataFrame:
+    """Every fourth site with another reference."""
+    return sites.withColumn("alleles", F.when(F.col("ordinal") % 4 == 1, F.concat(F.array(F.lit("T")), F.slice("alleles", 2, 1 << 20))).otherwise(F.col("alleles")))
+
+
+comparison("diff_site_overlaps", "diff_site", PRESENCE.format(clash="WHEN b.site_id % 4 = 1 THEN 'O' ", ref2="CASE WHEN b.site_id % 4 = 1 THEN 'T' ELSE b.ref END"), other=_other_references)
