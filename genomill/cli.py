@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import sys
 import time
 from collections.abc import Sequence
 
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from genomill.engine import CallSet, compare, write_outputs
 from genomill.session import importable
-from genomill.sources import bgzf, side_files, text_output
+from genomill.sources import bcf, bgzf, side_files, text_output
 from genomill.spec import QuerySpec, SpecError
 
 #: Flag, field of QuerySpec, type. The flags' names are fixed values that users of such tools know.
@@ -45,8 +46,10 @@ def parser() -> argparse.ArgumentParser:
     source = p.add_mutually_exclusive_group(required=True)
     for flag in ("--vcf", "--gzvcf", "--bcf", "--input"):
         source.add_argument(flag)
-    for flag in ("--diff", "--gzdiff", "--diff-bcf", "--positions", "--exclude-positions", "--bed", "--exclude-bed", "--keep", "--remove", "--recode"):
-        p.add_argument(flag) if flag != "--recode" else p.add_argument(flag, action="store_true")
+    for flag in ("--diff", "--gzdiff", "--diff-bcf", "--positions", "--exclude-positions", "--bed", "--exclude-bed", "--keep", "--remove"):
+        p.add_argument(flag)
+    for flag in ("--recode", "--recode-bcf"):
+        p.add_argument(flag, action="store_true")
     p.add_argument("--weir-fst-pop", action="append", default=[])
     p.add_argument("--pca-no-norm", action="store_true")
     p.add_argument("--out", default="out")
@@ -63,6 +66,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def run_log(argv: Sequence[str], calls: CallSet, spec: QuerySpec, sides: dict, done: Sequence[str], seconds: float) -> list[str]:
+    """The lines of PREFIX.log: the command, the filters set, individuals and sites kept of all, files and time."""
+    plain = QuerySpec()
+    shown = lambda v: ",".join(sorted(map(str, v))) if isinstance(v, frozenset) else str(v)
+    filters = [f"\t{k} = {shown(v)}" for k, v in spec.__dict__.items() if v != getattr(plain, k) and k not in ("outputs", "info_types", "populations")]
+    out = ["genomill " + " ".join(argv), "", "Filters:", *(filters or ["\tnone"]), *(f"\t{k}: a file" for k in sides), "", "Outputs: " + (", ".join(spec.outputs) or "recoding only")]
+    if not any(o.startswith("diff") for o in spec.outputs):
+        kept = calls.kept(spec, **sides)
+        out += [f"Kept {len(kept.samples)} of {len(calls.samples)} individuals", f"Kept {kept.sites.count()} of {calls.sites.count()} sites read"]
+    return [*out, *(f"Wrote {x}" for x in done), f"Took {seconds:.1f} s"]
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     began = time.time()
@@ -78,27 +93,35 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     options |= {name: frozenset(getattr(a, name)) for _, name in SETS}
     options["keep_samples"] |= set(names(a.keep))
     options["remove_samples"] |= set(names(a.remove))
-    calls = CallSet.detect(spark, a.vcf or a.gzvcf or a.bcf or a.input)
+    region = (sorted(options["chroms"]), options["from_bp"], options["to_bp"])
+    calls = CallSet.detect(spark, a.vcf or a.gzvcf or a.bcf or a.input, region)
     spec = QuerySpec(**options, populations=populations, outputs=tuple(outputs), pca_normalize=not a.pca_no_norm, info_types=calls.header.info_types if calls.header else {})
     other = a.diff or a.gzdiff or a.diff_bcf
-    if not outputs and not a.recode:
+    recoded = a.recode or a.recode_bcf
+    if not outputs and not recoded:
         raise SpecError("no output asked for")
+    sides = {k: (side_files.read_bed if "bed" in k else side_files.read_positions)(spark, v) for k in ("positions", "exclude_positions", "bed", "exclude_bed") if (v := getattr(a, k))}
     if any(o.startswith("diff") for o in outputs):
         if not other:
             raise SpecError("a comparison needs a second input")
-        found = compare(calls, CallSet.detect(spark, other), spec)
+        if recoded:
+            raise SpecError("comparisons can't go with recoding")
+        found = compare(calls, CallSet.detect(spark, other, region), spec, **sides)
         files = {a.out + text_output.SUFFIX[k]: text_output.table("\t".join(df.columns).upper(), (tuple("." if x is None else x for x in r) for r in df.orderBy(*df.columns[:2]).toLocalIterator()), "nan") for k, df in found.items()}
         text_output.publish(files)
         done = list(files)
     else:
-        sides = {k: (side_files.read_bed if "bed" in k else side_files.read_positions)(spark, v) for k in ("positions", "exclude_positions", "bed", "exclude_bed") if (v := getattr(a, k))}
         done = list(write_outputs(calls, spec, a.out, **sides)) if outputs else []
-        if a.recode:  # block-gzipped parts
+        if recoded:  # block-gzipped parts
             own = calls.kept(spec, **sides)
             header = [*own.header.lines[:-1], "\t".join([*own.header.lines[-1].split("\t")[:9], *own.samples])]
-            uri = f"file://{a.out}.recode.vcf.gz.parts" if a.out.startswith("/") else f"{a.out}.recode.vcf.gz.parts"
-            bgzf.write_lines(own.output("recode", spec), header, uri)
-            done.append(uri)
+            for asked, kind, write in ((a.recode, "recode_gz", bgzf.write_lines), (a.recode_bcf, "recode_bcf", bcf.write_records)):
+                if asked:
+                    uri = ("file://" if a.out.startswith("/") else "") + a.out + text_output.SUFFIX[kind]
+                    write(own.output("recode", spec), header, uri)
+                    done.append(uri)
+    log = run_log(argv if argv is not None else sys.argv[1:], calls, spec, sides, done, time.time() - began)
+    text_output.publish({a.out + text_output.SUFFIX["log"]: log})
     logging.getLogger("genomill").info("wrote %s in %.1f s", ", ".join(done), time.time() - began)
     return 0
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from genomill.operators import diff, fst, individual_stats, ld, pca, recode, selectors, site_stats, windows
 from genomill.operators.filters import kept_sites, record_predicates
-from genomill.sources import bcf, bgzf, tables, text_output, vcf
+from genomill.sources import bcf, bgzf, index, tables, text_output, vcf
 from genomill.spec import ORDERED_OUTPUTS, QuerySpec
 
+#: Chromosomes, first and last position (None for no bound) that the filters ask for.
+Region = tuple[Sequence[str], int | None, int | None]
+
 
 @dataclass
 class CallSet:
@@ -28,10 +31,15 @@ class CallSet:
         return cls(sites, list(header.samples), header)
 
     @classmethod
-    def from_bgzf(cls, spark: SparkSession, path: str, split: int = 16 << 20) -> CallSet:
-        """Block-gzipped VCF, read in ranges by several tasks."""
+    def from_bgzf(cls, spark: SparkSession, path: str, split: int = 16 << 20, region: Region | None = None) -> CallSet:
+        """Block-gzipped VCF, read in ranges by several tasks; of a region only the blocks that an index beside the file names.
+
+        Without a usable index, or a region, the whole file is read. The region's filters still have to be applied.
+        """
         header = vcf.read_header(spark, path)
-        lines = bgzf.read_lines(spark, path, split).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+        found = index.beside(path) if region and region[0] else None
+        chunks = index.merged(c for chrom in region[0] for c in found.ranges(chrom, *region[1:])) if found else None
+        lines = bgzf.read_lines(spark, path, split, chunks).where(~F.col("value").startswith("#") & (F.col("value") != ""))
         return cls(vcf.parse_sites(lines), list(header.samples), header)
 
     @classmethod
@@ -40,10 +48,12 @@ class CallSet:
         return cls(vcf.parse_sites(lines), list(header.samples), header)
 
     @classmethod
-    def detect(cls, spark: SparkSession, path: str) -> CallSet:
+    def detect(cls, spark: SparkSession, path: str, region: Region | None = None) -> CallSet:
         """By the file's first bytes, not by its name."""
         kind = bcf.sniff(path)
-        return {"bcf": cls.from_bcf, "bgzf": cls.from_bgzf}.get(kind, cls.from_vcf)(spark, path)
+        if kind == "bgzf":
+            return cls.from_bgzf(spark, path, region=region)
+        return (cls.from_bcf if kind == "bcf" else cls.from_vcf)(spark, path)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, copy: int = 1) -> CallSet:
@@ -62,12 +72,7 @@ class CallSet:
     def kept(self, spec: QuerySpec, positions: DataFrame | None = None, exclude_positions: DataFrame | None = None, bed: DataFrame | None = None, exclude_bed: DataFrame | None = None) -> CallSet:
         """Sites after all filters, with their aggregates."""
         own = self.restricted(spec)
-        sites = own.sites
-        for side, keep in ((positions, True), (exclude_positions, False)):
-            sites = sites if side is None else selectors.at_positions(sites, side, keep)
-        for side, keep in ((bed, True), (exclude_bed, False)):
-            sites = sites if side is None else selectors.in_intervals(sites, side, keep)
-        return CallSet(kept_sites(sites, spec), own.samples, own.header)
+        return CallSet(kept_sites(selectors.beside(own.sites, positions, exclude_positions, bed, exclude_bed), spec), own.samples, own.header)
 
     def outputs(self, spec: QuerySpec, **sides: DataFrame | None) -> dict[str, DataFrame]:
         """A DataFrame for each output. With several the kept sites are cached, so the scan is shared."""
@@ -146,15 +151,16 @@ class CallSet:
         return text_output.table(head, ((*(r[c] for c in columns.split()),) for r in rows(df, *order)), "nan" if name == "tajima_d" else "-nan")
 
 
-def compare(first: CallSet, second: CallSet, spec: QuerySpec) -> dict[str, DataFrame]:
-    """The comparison outputs of two call sets, after the filters that they share."""
-    sides = []
+def compare(first: CallSet, second: CallSet, spec: QuerySpec, positions: DataFrame | None = None, exclude_positions: DataFrame | None = None, bed: DataFrame | None = None, exclude_bed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The comparison outputs of two call sets, after the filters and side tables that they share."""
+    both = []
     for x in (first, second):
         own = x.restricted(spec)
         for p in record_predicates(spec):
             own.sites = own.sites.where(p)
-        sides.append(own)
-    a, b = sides
+        own.sites = selectors.beside(own.sites, positions, exclude_positions, bed, exclude_bed)
+        both.append(own)
+    a, b = both
     make = {
         "diff_site": lambda: diff.site_presence(a.sites, b.sites),
         "diff_indv": lambda: diff.diff_individuals(a.sites.sparkSession, a.samples, b.samples),

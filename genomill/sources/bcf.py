@@ -1,4 +1,4 @@
-"""BCF2 decoded to VCF lines: typed values, dictionaries from the header, genotypes as text."""
+"""BCF2 decoded to VCF lines and written from them: typed values, dictionaries from the header, genotypes as text."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.sources.bgzf import _blocks
+from genomill.sources.bgzf import _blocks, write_parts
 from genomill.sources.vcf import Header, parse_header
 
 MAGIC = b"BCF\x02"
@@ -171,3 +171,99 @@ def read_lines(spark: SparkSession, uri: str) -> tuple[DataFrame, Header]:
                 yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(held)), pa.int64()), pa.array(held, pa.string())], ["ordinal", "value"])
 
     return spark.range(1, numPartitions=1).mapInArrow(run, "ordinal long, value string"), header
+
+
+def _typed(kind: int, n: int, data: bytes) -> bytes:
+    return (bytes([n << 4 | kind]) if n < 15 else bytes([15 << 4 | kind]) + _ints([n])) + data
+
+
+def _width(numbers: list[int | None]) -> int:
+    """The least type that holds the numbers beside its marks for missing values and ends."""
+    some = [x for x in numbers if x is not None]
+    low, high = min(some, default=0), max(some, default=0)
+    return next(k for k, (_, size, _) in INTS.items() if size == 4 or -(1 << 8 * size - 1) + 8 <= low and high < 1 << 8 * size - 1)
+
+
+def _packed(numbers: list[int | None], kind: int, n: int) -> bytes:
+    code, _, missing = INTS[kind]
+    return struct.pack(f"<{n}{code}", *(missing if x is None else x for x in numbers), *[missing + 1] * (n - len(numbers)))
+
+
+def _ints(numbers: list[int | None]) -> bytes:
+    kind = _width(numbers)
+    return _typed(kind, len(numbers), _packed(numbers, kind, len(numbers)))
+
+
+def _bits(x: float | None) -> int:
+    return MISSING_FLOAT if x is None else struct.unpack("<I", struct.pack("<f", x))[0]
+
+
+def _text(x: str) -> bytes:
+    return _typed(7, len(x.encode()), x.encode())
+
+
+def _number(x: str, of: type) -> int | float | None:
+    return None if x in (".", "") else of(x)
+
+
+class Encoder:
+    """VCF lines to BCF2 records under a header, which must name all that the lines use."""
+
+    def __init__(self, header: list[str]):
+        strings, contigs = dictionaries(header)
+        self.strings, self.contigs = {x: i for i, x in enumerate(strings)}, {x: i for i, x in enumerate(contigs)}
+        self.kinds = {(m[1], m[2]): m[3] for x in header if (m := re.match(r"##(INFO|FORMAT)=<ID=([^,>]+),.*?Type=(\w+)", x))}
+        text = ("\n".join(header) + "\n").encode() + b"\0"
+        self.head = MAGIC + b"\x02" + struct.pack("<I", len(text)) + text
+
+    def _info(self, item: str) -> bytes:
+        key, given, value = item.partition("=")
+        kind = self.kinds.get(("INFO", key), "String")
+        out = _ints([self.strings[key]])
+        if not given:
+            return out + b"\0"
+        if kind == "Integer":
+            return out + _ints([_number(x, int) for x in value.split(",")])
+        if kind == "Float":
+            xs = [_bits(_number(x, float)) for x in value.split(",")]
+            return out + _typed(5, len(xs), struct.pack(f"<{len(xs)}I", *xs))
+        return out + _text(value)
+
+    def _format(self, key: str, cells: list[str]) -> bytes:
+        out, kind = _ints([self.strings[key]]), self.kinds.get(("FORMAT", key), "String")
+        if key == "GT":
+            each = []
+            for x in cells:
+                parts = re.split(r"([/|])", x)
+                each.append([(0 if a == "." else int(a) + 1 << 1) | (k > 0 and parts[2 * k - 1] == "|") for k, a in enumerate(parts[::2])])
+        elif kind == "Integer":
+            each = [[_number(v, int) for v in x.split(",")] for x in cells]
+        elif kind == "Float":
+            each = [[_bits(_number(v, float)) for v in x.split(",")] for x in cells]
+            n = max(map(len, each))
+            return out + _typed(5, n, b"".join(struct.pack(f"<{n}I", *x, *[END_FLOAT] * (n - len(x))) for x in each))
+        else:
+            raw = [x.encode() for x in cells]
+            n = max(map(len, raw))
+            return out + _typed(7, n, b"".join(x.ljust(n, b"\0") for x in raw))
+        n, width = max(map(len, each)), _width([v for x in each for v in x])
+        return out + _typed(width, n, b"".join(_packed(x, width, n) for x in each))
+
+    def record(self, line: str) -> bytes:
+        c = line.split("\t")
+        alleles = [c[3], *(c[4].split(",") if c[4] != "." else [])]
+        filters = [] if c[6] == "." else [self.strings[x] for x in c[6].split(";")]
+        info = [] if c[7] == "." else c[7].split(";")
+        keys = c[8].split(":") if len(c) > 9 else []
+        # Fields that a cell leaves out at its end are missing.
+        cells = [x.split(":") + ["."] * len(keys) for x in c[9:]]
+        shared = struct.pack("<iiiIII", self.contigs[c[0]], int(c[1]) - 1, len(c[3]), _bits(_number(c[5], float)), len(info) | len(alleles) << 16, len(c[9:]) | len(keys) << 24)
+        shared += _text(c[2]) + b"".join(map(_text, alleles)) + (_ints(filters) if filters else b"\0") + b"".join(map(self._info, info))
+        own = b"".join(self._format(key, [x[k] for x in cells]) for k, key in enumerate(keys))
+        return struct.pack("<II", len(shared), len(own)) + shared + own
+
+
+def write_records(lines: DataFrame, header: list[str], uri: str) -> list[str]:
+    """VCF lines (ordinal, line) in order as a BCF2 file in parts, which their concatenation makes one."""
+    encoder = Encoder(header)
+    return write_parts(lines, uri, encoder.head, lambda xs: b"".join(map(encoder.record, xs)))

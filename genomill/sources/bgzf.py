@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -70,12 +70,17 @@ def _blocks(f, low: int, high: int | None) -> Iterator[tuple[int, bytes]]:
         at += n
 
 
-def range_lines(uri: str, low: int, high: int) -> Iterator[str]:
-    """Lines that begin in blocks which begin in [low, high); a line may end in a later block."""
+def range_lines(uri: str, low: int, high: int, skip: int | None = None) -> Iterator[str]:
+    """Lines that begin in blocks which begin in [low, high); a line may end in a later block.
+
+    With skip a line is known to begin so many bytes behind the start of the first block, and is the first.
+    """
     files, path = pafs.FileSystem.from_uri(uri)
     with files.open_input_file(path) as f:
         rest, first = b"", low == 0
         for at, data in _blocks(f, low, high):
+            if skip is not None:
+                data, first, skip = data[skip:], True, None
             if not first:  # the line that is under way belongs to the range before
                 cut = data.find(b"\n")
                 if cut < 0:
@@ -100,30 +105,37 @@ def range_lines(uri: str, low: int, high: int) -> Iterator[str]:
             yield rest.decode().rstrip("\r")
 
 
-def read_lines(spark: SparkSession, uri: str, split: int = 16 << 20) -> DataFrame:
-    """ordinal, value of all lines of a block-gzipped file, read in byte ranges at once; ordinal is in file order."""
+def read_lines(spark: SparkSession, uri: str, split: int = 16 << 20, chunks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """ordinal, value of all lines of a block-gzipped file, read in byte ranges at once; ordinal is in file order.
+
+    With chunks (virtual offsets in order, blocks apart) only their blocks are read; lines near a chunk's end may be more.
+    """
     files, path = pafs.FileSystem.from_uri(uri)
     size = files.get_file_info(path).size
-    ranges = [(k, low, min(low + split, size)) for k, low in enumerate(range(0, size, split))]
+    ranges = []
+    for begin, end in [(0, size << 16)] if chunks is None else chunks:
+        low, stop = begin >> 16, min((end >> 16) + 1, size)
+        ranges += [(at, min(at + split, stop), (begin & 0xFFFF) if at == low else None) for at in range(low, stop, split)]
+    ranges = [(k, *r) for k, r in enumerate(ranges)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, low, high, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, held = 0, []
-                for line in range_lines(uri, low, high):
+                for line in range_lines(uri, low, high, skip):
                     held.append(line)
                     if len(held) == 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(range((k << 33) + n, (k << 33) + n + len(held)), pa.int64()), pa.array(held)], ["ordinal", "value"])
                         n, held = n + len(held), []
                 yield pa.RecordBatch.from_arrays([pa.array(range((k << 33) + n, (k << 33) + n + len(held)), pa.int64()), pa.array(held, pa.string())], ["ordinal", "value"])
 
-    return spark.createDataFrame(ranges, "k long, low long, high long").repartitionByRange(max(len(ranges), 1), "k").mapInArrow(run, "ordinal long, value string")
+    return spark.createDataFrame(ranges, "k long, low long, high long, skip long").repartitionByRange(max(len(ranges), 1), "k").mapInArrow(run, "ordinal long, value string")
 
 
-def write_lines(lines: DataFrame, header: list[str], uri: str) -> list[str]:
-    """Lines (ordinal, line) in order to part files of blocks in a folder; their concatenation is one legal file.
+def write_parts(lines: DataFrame, uri: str, head: bytes, pack: Callable[[list[str]], bytes]) -> list[str]:
+    """Lines (ordinal, line) in order, packed to bytes, as part files of blocks in a folder; their concatenation is one legal file.
 
-    The header is the first part and the end mark the last. Parts are written beside their names and renamed.
+    The head is the first part and the end mark the last. Parts are written beside their names and renamed.
     """
     files, base = pafs.FileSystem.from_uri(uri)
     files.create_dir(base, recursive=True)
@@ -141,7 +153,7 @@ def write_lines(lines: DataFrame, header: list[str], uri: str) -> list[str]:
         files.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, chunks = f"part-{TaskContext.get().partitionId() + 1:06d}", (("\n".join(b.column(0).to_pylist()) + "\n").encode() for b in batches if b.num_rows)
+        name, chunks = f"part-{TaskContext.get().partitionId() + 1:06d}", (pack(b.column(0).to_pylist()) for b in batches if b.num_rows)
         first = next(chunks, None)
         if first is not None:
 
@@ -152,9 +164,14 @@ def write_lines(lines: DataFrame, header: list[str], uri: str) -> list[str]:
             put(name, every(), str(TaskContext.get().taskAttemptId()))
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    put("part-000000", iter([("\n".join(header) + "\n").encode()]), "driver")
+    put("part-000000", iter([head]), "driver")
     names = [r.name for r in lines.orderBy("ordinal").select("line").mapInArrow(run, "name string").collect()]  # a row for each part
     last = "part-999999"
     with files.open_output_stream(f"{base}/{last}") as out:
         out.write(EOF)
     return ["part-000000", *sorted(names), last]
+
+
+def write_lines(lines: DataFrame, header: list[str], uri: str) -> list[str]:
+    """Lines (ordinal, line) in order as block-gzipped text."""
+    return write_parts(lines, uri, ("\n".join(header) + "\n").encode(), lambda xs: ("\n".join(xs) + "\n").encode())

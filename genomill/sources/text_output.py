@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 SUFFIX = {
     "freq": ".frq", "freq2": ".frq", "counts": ".frq.count", "missing_site": ".lmiss", "site_depth": ".ldepth", "site_mean_depth": ".ldepth.mean", "depth": ".idepth",
     "missing_indv": ".imiss", "het": ".het", "hardy": ".hwe", "site_quality": ".lqual", "site_pi": ".sites.pi", "window_pi": ".windowed.pi", "tajima_d": ".Tajima.D",
-    "weir_fst": ".weir.fst", "window_fst": ".windowed.weir.fst", "geno_r2": ".geno.ld", "pca": ".pca", "recode": ".recode.vcf", "diff_site": ".diff.sites_in_files",
+    "weir_fst": ".weir.fst", "window_fst": ".windowed.weir.fst", "geno_r2": ".geno.ld", "pca": ".pca", "recode": ".recode.vcf", "recode_gz": ".recode.vcf.gz.parts", "recode_bcf": ".recode.bcf.parts", "log": ".log", "diff_site": ".diff.sites_in_files",
     "diff_indv": ".diff.indv_in_files", "diff_site_discordance": ".diff.sites", "diff_indv_discordance": ".diff.indv",
 }
 

@@ -1,10 +1,12 @@
+import math
+
 import pytest
 
 from genomill.engine import CallSet, compare, write_outputs
 from genomill.functions.hwe import exact
 from genomill.operators.windows import checked_order
 from genomill.spec import QuerySpec, SpecError
-from tests.inputs import EDGE, FORMS, RECODE, STATS, vcf
+from tests.inputs import brute, brute_fst, random_calls, read, vcf
 
 
 def rows(spark, text, name, spec=None, **sides):
@@ -12,52 +14,62 @@ def rows(spark, text, name, spec=None, **sides):
     return [" ".join(x.split("\t")[1:]) for x in list(CallSet.from_lines(spark, text).kept(spec, **sides).lines(name, spec))[1:]]
 
 
-@pytest.mark.parametrize(
-    ("name", "want"),
-    [
-        ("freq", ["1 2 4 A:0.25 C:0.75", "2 3 3 G:0.333333 A:0.333333 T:0.333333", "3 2 0 T:-nan G:-nan", "4 2 3 C:0.333333 G:0.666667", "5 1 3 A:1", "6 2 4 A:0.75 C:0.25", "7 2 4 G:0.25 T:0.75"]),
-        ("counts", ["1 2 4 A:1 C:3", "2 3 3 G:1 A:1 T:1", "3 2 0 T:0 G:0", "4 2 3 C:1 G:2", "5 1 3 A:3", "6 2 4 A:3 C:1", "7 2 4 G:1 T:3"]),
-        ("missing_site", ["1 6 0 2 0.333333", "2 5 0 2 0.4", "3 6 0 6 1", "4 4 0 1 0.25", "5 4 0 1 0.25", "6 5 0 1 0.2", "7 6 0 2 0.333333"]),
-        ("site_depth", ["1 0 0", "2 12 80", "3 7 25", "4 0 0", "5 0 0", "6 15 125", "7 3 5"]),
-        ("site_mean_depth", ["1 -nan -nan", "2 6 8", "3 3.5 0.5", "4 -nan -nan", "5 -nan -nan", "6 7.5 12.5", "7 1.5 0.5"]),
-        ("site_quality", ["1 40", "2 40", "3 40", "4 40", "5 40", "6 -1", "7 30.125"]),
-    ],
-)
-def test_site_outputs(spark, name, want):
-    assert rows(spark, STATS, name) == want
-
-
-def test_genotype_forms(spark):
-    miss = [r.split()[1:4:2] for r in rows(spark, FORMS, "missing_site")]
-    assert miss == [["16", "5"], ["14", "3"], ["16", "0"], ["8", "1"], ["15", "3"], ["16", "4"]]
-    assert [r.split()[2] for r in rows(spark, FORMS, "missing_indv")] == list("00112313")
-    assert [r.split()[0] for r in rows(spark, FORMS, "counts", QuerySpec(max_missing=0.7))] == ["3", "4", "5", "6"]
-
-
-def test_edges_of_numbers(spark):
-    assert rows(spark, EDGE, "site_depth") == ["1 0 0", "2 5 25", "3 200000 2820130816", "4 12 74"]
-    assert rows(spark, EDGE, "site_depth", QuerySpec(corrected_depth=True))[2] == "3 200000 20000000000"
-    assert rows(spark, EDGE, "site_mean_depth") == ["1 -nan -nan", "2 5 -nan", "3 100000 -1.71799e+10", "4 6 2"]
-    assert rows(spark, EDGE, "site_pi") == ["1 -nan", "2 1", "3 0.666667", "4 -nan"]
-    assert rows(spark, EDGE, "window_pi", QuerySpec(window_pi=10, window_pi_step=5)) == ["1 10 2 8 0.0909091"]
-    assert rows(spark, EDGE, "tajima_d", QuerySpec(tajima=10)) == ["0 2 1.89306"]
-    apart, overlapping = (("S1",), ("S2",)), (("S1", "S2"), ("S2",))
-    assert rows(spark, EDGE, "weir_fst", QuerySpec(populations=apart)) == ["1 -nan", "2 -nan", "3 -nan", "4 -nan"]
-    assert rows(spark, EDGE, "weir_fst", QuerySpec(populations=overlapping)) == ["1 -nan", "2 -nan", "3 -1", "4 -nan"]
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("name", ["freq", "counts", "missing_site", "site_depth", "site_mean_depth", "site_quality", "site_pi", "depth", "missing_indv"])
+def test_outputs_equal_their_definitions(spark, name, seed):
+    text = random_calls(seed)
+    assert rows(spark, text, name) == brute(text, name)
+
+
+def test_filters_keep_the_sites_of_their_definitions(spark):
+    text = random_calls(3, 120)
+    sites = read(text)
+    minor = lambda s: min((min(f, 1 - f) for c in s.counts for f in [c / len(s.called)]), default=math.inf)
+    rules = {
+        QuerySpec(maf=0.2): lambda s: not s.called or minor(s) >= 0.2,
+        QuerySpec(max_maf=0.3): lambda s: bool(s.called) and minor(s) <= 0.3,
+        QuerySpec(max_missing=0.7): lambda s: len(s.called) >= 0.7 * sum(len(a) for a, *_ in s.calls),
+        QuerySpec(mac=2): lambda s: min(s.counts) >= 2,
+        QuerySpec(min_mean_dp=20.0): lambda s: sum(s.depths) / len(s.calls) >= 20,
+    }
+    for spec, keeps in rules.items():
+        assert [int(r.split()[0]) for r in rows(spark, text, "site_quality", spec)] == [s.pos for s in sites if keeps(s)]
+
+
+def test_sums_of_depths_keep_32_bits(spark):
+    text = vcf("X Y Z", "chr1 11 . G T 20 PASS . GT:DP 0/1:70000 0/0:90001 1/1:.", "chr1 12 . G T 20 PASS . GT:DP ./.:3 ./.:. ./.:.")
+    assert rows(spark, text, "site_depth") == brute(text, "site_depth") == [f"11 160001 {(70000**2 + 90001**2) % 2**32}", "12 3 9"]
+    assert rows(spark, text, "site_depth", QuerySpec(corrected_depth=True)) == [f"11 160001 {70000**2 + 90001**2}", "12 3 9"]
+    assert rows(spark, text, "site_mean_depth") == brute(text, "site_mean_depth")
+
+
+@pytest.mark.parametrize("populations", [(("P0", "P1", "P2"), ("P3", "P4", "P5")), (("P0", "P1", "P2", "P3"), ("P2", "P3", "P4")), (("P0", "P1"), ("P2", "P3"), ("P4", "P5", "nobody"))])
+def test_fst_of_populations_apart_and_overlapping(spark, populations):
+    text = random_calls(4, 120)
+    spec = QuerySpec(populations=populations)
+    got = [r.split() for r in rows(spark, text, "weir_fst", spec)]
+    own = [[int(x[1:]) for x in p if x != "nobody"] for p in populations]
+    # Samples of no population are left out before anything else.
+    want = [(s.pos, brute_fst(s, own)) for s in read(text) if all(len(s.calls[i][0]) == 2 for p in own for i in p)]
+    assert [int(p) for p, _ in got] == [p for p, _ in want] and len(got) > 20
+    for (_, x), (_, y) in zip(got, want, strict=True):
+        assert x == "-nan" if math.isnan(y) else math.isclose(float(x), y, rel_tol=1e-4, abs_tol=1e-6)
 
 
 def test_recode_masks_and_sorts(spark):
+    text = vcf(
+        "X Y Z",
+        "chr1 21 . C T 33 weak;Bias N=4 GQ:DP:GT 3:7:0|0 44:9:1 9:.:.",
+        "chr1 22 . A G 33 PASS N=1 DP 6 . 2",
+        "chr1 25 . A G 33 . N=2;F DP:GT 6:0/0 .:./. 2:1|1",
+        "chr1 29 . G C 33 weak N=3 GT:GQ 1/1:12 ./.:. 0|1:2",
+    )
     spec = QuerySpec(min_gq=10.0, recode_info_all=True)
-    lines = list(CallSet.from_lines(spark, RECODE).kept(spec).lines("recode", spec))[-4:]
-    assert [x.split("\t")[6] for x in lines] == ["Cluster;q10", "PASS", "PASS", "PASS"]
-    assert [x.split("\t")[9:] for x in lines] == [["./.:5:8", "./.:5:8", "./.:.:."], ["3", "4", "."], ["5:./.", "20:1|1", ".:./."], ["0/1:20", "1/1:30", "./.:."]]
-    plain = list(CallSet.from_lines(spark, RECODE).kept(QuerySpec()).lines("recode", QuerySpec()))[-1]
-    assert plain.split("\t")[7] == "."
-
-
-def test_zero_calls_and_minor_frequency(spark):
-    assert [r.split()[0] for r in rows(spark, EDGE, "counts", QuerySpec(maf=0.1))] == ["1", "2", "3", "4"]
-    assert [r.split()[0] for r in rows(spark, EDGE, "counts", QuerySpec(max_maf=0.5))] == ["2", "3"]
+    lines = [x.split("\t") for x in list(CallSet.from_lines(spark, text).kept(spec).lines("recode", spec))[-4:]]
+    assert [x[6] for x in lines] == ["Bias;weak", "PASS", ".", "weak"] and [x[7] for x in lines] == ["N=4", "N=1", "N=2;F", "N=3"]
+    assert [x[9:] for x in lines] == [["3:7:./.", "44:9:1", "9:.:./."], ["6", ".", "2"], ["6:0/0", ".:./.", "2:1|1"], ["1/1:12", "./.:.", "./.:2"]]
+    plain = list(CallSet.from_lines(spark, text).kept(QuerySpec()).lines("recode", QuerySpec()))[-1].split("\t")
+    assert plain[7] == "." and plain[9:] == ["1/1:12", "./.:.", "0|1:2"]
 
 
 def test_thinning_counts_from_the_last_kept(spark):
@@ -112,10 +124,20 @@ def test_comparison_of_two_sets(spark):
 
 
 def test_files_appear_together_or_not_at_all(spark, tmp_path):
-    calls = CallSet.from_lines(spark, STATS)
+    calls = CallSet.from_lines(spark, random_calls(5, 20))
     write_outputs(calls, QuerySpec(outputs=("freq", "counts")), str(tmp_path / "a"))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.frq", "a.frq.count"]
     bad = CallSet.from_lines(spark, vcf("A", "chr1 5 . A C 9 PASS . GT 0/1/1"))
     with pytest.raises(Exception, match="polyploid"):
         write_outputs(bad, QuerySpec(outputs=("site_quality", "counts")), str(tmp_path / "b"))
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("b")]
+
+
+def test_comparison_takes_positions_and_intervals(spark):
+    text = vcf("A", *(f"chr1 {p} . A C 9 PASS . GT 0/1" for p in (10, 20, 30, 40)))
+    both = CallSet.from_lines(spark, text), CallSet.from_lines(spark, text)
+    at = spark.createDataFrame([("chr1", 10), ("chr1", 40)], "chrom string, pos int")
+    bed = spark.createDataFrame([("chr1", 15, 33)], "chrom string, start int, end int")
+    found = lambda **sides: sorted(r.pos1 for r in compare(*both, QuerySpec(outputs=("diff_site",)), **sides)["diff_site"].collect())
+    assert found(positions=at) == [10, 40] and found(exclude_positions=at) == [20, 30]
+    assert found(bed=bed) == [20, 30] and found(exclude_bed=bed) == [10, 40]
