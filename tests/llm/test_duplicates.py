@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genomill.llm._graph import components
-from genomill.llm._shingles import shingles, word_hashes
+from genomill.llm._shingles import word_hashes
 from genomill.llm.ngram_join import BLOCK, choose_bands, overlaps, similarity_classes
-from genomill.llm.substring_dedup import SPAN, WINDOW, Fenwick, K, align, chains, minimizers, repeated_passages, without_passages
+from genomill.llm.substring_dedup import REACH, SPAN, WINDOW, Fenwick, K, align, chains, minimizers, passages, repeated_passages, segments, without_passages
 
 SCHEMA = "doc_id long, text string, node string, class_id string"
 
@@ -70,6 +71,12 @@ def test_edges_of_the_join(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "other text entirely here now"), (3, "a b c d e f")]
     got = sorted((r.doc_id or -1, r.class_id, r.n_links) for r in similarity_classes(docs(spark, rows)).collect())
     assert got == [(-1, 3, 3), (-1, 3, 3), (3, 3, 0), (3, 3, 3), (3, 3, 3)]
+    # Near texts without keys are told apart, and linked, all the same.
+    rng = random.Random(3)
+    base = words(rng, 80)
+    near = [(None, " ".join([*base[:-1], f"w{i}"])) for i in range(6)] + [(None, " ".join(words(rng, 30)))]
+    got = sorted((r.class_size, r.n_links) for r in similarity_classes(docs(spark, near)).where("class_id is null").collect())
+    assert got == [(1, 0)] + [(6, 5)] * 6
 
 
 def test_bands_reach_the_recall():
@@ -86,11 +93,37 @@ def test_intersections():
     assert all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
 
 
-def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(1000, 1001), (1001, 1000), (2000, 2000)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+@pytest.mark.parametrize("finish", [0, 1000])
+def test_components_of_paths_and_stars(spark, finish):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(1000, 1001), (1001, 1000), (2000, 2000), (1, None)]
+    rows = components(spark.createDataFrame(edges, "a long, b long"), finish).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got) == 61 + 55 + 2
     assert len({got[i] for i in range(100, 161)}) == 1 and len({got[i] for i in range(5, 60)}) == 1
     assert len({got[100], got[5], got[1000]}) == 3 and got[1000] == got[1001]
+    first = {r.node: r.levels[0] for r in rows}
+    assert all(got[x] == got[n] for n, x in first.items()) and len({first[i] for i in range(100, 161)}) > 5
+    assert all(r.levels[-1] == r.component for r in rows)
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long"), finish).count() == 0
+
+
+@pytest.mark.parametrize(("n", "finish"), [(2_000, 0), (50_000, 20_000)])
+def test_a_long_path_is_one_component_and_plans_stay_small(spark, n, finish):
+    path = spark.range(n).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    got = components(path, finish)
+    assert got.count() == n + 1 and got.select("component").distinct().count() == 1
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
+def test_a_long_chain_of_candidates_loses_no_link(spark):
+    rng = random.Random(10)
+    now, rows = words(rng, 60), []
+    for i in range(3 * BLOCK):
+        rows.append((i, " ".join(now)))
+        now = list(now)
+        now[rng.randrange(60)] = "".join(words(rng, 2))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in similarity_classes(docs(spark, rows)).collect())
+    assert got == brute(rows)
 
 
 def test_fenwick_and_chain():
@@ -131,26 +164,71 @@ def test_passages_are_cut_and_the_rest_stays(spark):
     got = {r.doc_id: r.text for r in without_passages(frame, repeated_passages(frame)).collect()}
     assert got == {1: rows[0][1], 2: " ".join(a) + "\n" + " ".join(b), 3: "", 4: None, 5: "  kept as  it is "}
     assert repeated_passages(docs(spark, [])).count() == 0
-    same = docs(spark, [(7, " ".join(passage)), (7, " ".join(passage)), (None, " ".join(passage))])
-    assert {(r.doc_id, r.first_doc_id) for r in repeated_passages(same).collect()} == {(7, None)}
-
-
-def seeded(rng, n, every):
-    """Whether seeds that a passage of n words shares with its edited copy (each every-th word changed) span enough."""
+    # Rows of one key and text are one document; other texts of the key are other documents; no key comes last.
+    text = " ".join(passage)
+    same = docs(spark, [(7, text), (7, text), (None, text), (7, " ".join(a) + " " + text), (9, text), (9, text)])
+    found = repeated_passages(same)
+    rows = sorted((r.doc_id or 99, r.first_doc_id, r.start_word, r.end_word) for r in found.collect())
+    assert [r for r in rows if r[0] != 7] == [(9, 7, 0, 70), (99, 7, 0, 70)] and len([r for r in rows if r[0] == 7]) == 1
+    left = sorted((r.doc_id or 99, r.text) for r in without_passages(same, found).collect())
+    assert [x for x in left if x[0] != 7] == [(9, ""), (9, ""), (99, "")] and sum(text in x for _, x in left) in (1, 2)
+
+
+def test_own_columns_of_any_name_stay(spark):
+    rng = random.Random(5)
+    text = " ".join(words(rng, 60))
+    names = "doc_id long, text string, key string, h string, spans string, parts string, row string, text_hash string"
+    frame = spark.createDataFrame([(1, text, *"abcdef"), (2, text, *"ghijkl")], names)
+    out = without_passages(frame, repeated_passages(frame))
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect())) == [(1, text, *"abcdef"), (2, "", *"ghijkl")]
+
+
+def found(rng, n, identity):
+    """(whether a passage's edited copy is one by its true alignment, whether seeds, chains and alignment find one)."""
     passage = words(rng, n)
-    copy = [w if i % every else "zz" + str(rng.randint(0, 999)) for i, w in enumerate(passage, 1)]
-    both = []
-    for w in (passage, copy):
-        h = shingles(word_hashes(" ".join(words(rng, 40) + w + words(rng, 40)).encode()), K)
-        both.append((h, minimizers(h, WINDOW)))
-    common = [p for p in both[0][1].tolist() if both[0][0][p] in set(both[1][0][both[1][1]].tolist())]
-    return bool(common) and common[-1] + K - common[0] >= SPAN
-
-
-@pytest.mark.parametrize(("n", "every", "share"), [(50, 10, 1.0), (60, 8, 1.0), (60, 6, 1.0), (80, 6, 1.0)])
-def test_seeds_of_edited_passages(n, every, share):
-    rng = random.Random(n + every)
-    assert sum(seeded(rng, n, every) for _ in range(200)) >= share * 200
+    copy = [x if rng.random() < identity else "zz" + str(rng.randint(0, 99999)) for x in passage]
+    a, b = (word_hashes(" ".join(x).encode()) for x in (words(rng, 60) + passage + words(rng, 60), words(rng, 30) + copy + words(rng, 90)))
+    both, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+    place, h = minimizers(both, bounds, K, WINDOW)
+    first = {v: p for p, v in zip(place.tolist(), h.tolist(), strict=True) if p < len(a)}
+    at = [(p - len(a), first[v]) for p, v in zip(place.tolist(), h.tolist(), strict=True) if p >= len(a) and v in first]
+    true = bool(passages(np.zeros(n, dtype=np.int64), np.array([x == y for x, y in zip(passage, copy, strict=True)]), 50, 0.8))
+    segs = segments(*(np.array(x) for x in zip(*at, strict=True)), K) if at else []
+    for c in chains(segs) if segs else []:
+        if segs[c[-1]][1] - segs[c[0]][0] >= SPAN and passages(*align(b, a, [tuple(segs[i]) for i in c], REACH)[1:], 50, 0.8):
+            return true, True
+    return true, False
+
+
+@pytest.mark.parametrize("identity", [0.95, 0.9, 0.85, 0.8])
+@pytest.mark.parametrize("n", [60, 80])
+def test_recall_of_edited_passages(n, identity):
+    rng = random.Random(n + int(identity * 100))
+    both = [f for t, f in (found(rng, n, identity) for _ in range(200)) if t]
+    assert sum(both) >= 0.9 * len(both)
+
+
+def test_minimizers_are_the_least_of_each_window():
+    rng = random.Random(4)
+    texts = [words(rng, n) for n in (0, 3, 5, 9, 60, 45, 12, 300)]
+    hashes = [word_hashes(" ".join(x).encode()) for x in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))
+    for k, window in ((5, 8), (40, 16), (1, 1), (7, 3)):
+        place, h = minimizers(np.concatenate(hashes), bounds, k, window)
+        of = dict(zip(place.tolist(), h.tolist(), strict=True))
+        everything = dict(zip(*(x.tolist() for x in minimizers(np.concatenate(hashes), bounds, k, 1)), strict=True))
+        want = set()
+        for low, high in zip(bounds.tolist(), bounds.tolist()[1:], strict=False):
+            n = high - low - k + 1
+            for at in range(low, low + max(n - window, 0) + 1) if n > 0 else ():
+                want.add(min(range(at, min(at + window, low + n)), key=lambda i: (everything[i], i)))
+        assert of.keys() == want
+        grams = {}
+        for p, v in everything.items():
+            d = int(np.searchsorted(bounds, p, "right")) - 1
+            assert grams.setdefault(tuple(texts[d][p - bounds[d] : p - bounds[d] + k]), v) == v
+        assert len(set(grams.values())) == len(grams)
 
 
 def covered(rows, n=50):
