@@ -2,7 +2,8 @@
 
 The terms of a text are its adjacent pairs of words (its only word, if it has one); each occurrence votes, so a term's
 weight is its frequency. Two 64-bit hashes of a term give 128 signed votes. Counters of two bits share one long, 32
-bits each, so a document's votes are 64 sums over its exploded terms, which code generation handles.
+bits each, so a document's votes are 64 sums over its exploded terms, which code generation handles. Of a stated set of
+query documents, the permuted block tables count all documents within RADIUS differing bits.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm._common import partitions, range_of, words_of
+from genomill.llm._common import Scratch, join_apart, partitions, range_of, words_of
 
 BITS = 128
 LANES = 0x0000000100000001
 SECOND_SEED = "genomill"
 BUCKETS_PER_PARTITION = 4
+#: Differing bits within which documents are near, and fingerprints of a bucket that are compared in one row.
+RADIUS, BUCKET_ROWS = 3, 256
+#: Query documents are those whose key this divides.
+QUERY_STEP = 20
 
 
 def _votes(hash_: str, second: str) -> list[Column]:
@@ -65,11 +70,14 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 
 def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by ascending key, after the last the first. A null text is empty, a null key is the least; rows with one
-    key stand in the order of their texts' hashes. A table of one document is its own next.
+    key stand in the order of their texts' hashes. A table of one document is its own next, an empty one gives no rows.
+    n_near counts the documents, itself among them, whose fingerprints differ in at most RADIUS bits; it is null for all
+    but the query documents, whose key QUERY_STEP divides. Texts are read whole; other columns are not read, so their
+    names can't clash.
 
     Documents go to key ranges of like counts with one shuffle; a range also gets a copy of the next range's first
     document. All later windows and sums are within the range, so nothing else is shuffled.
@@ -102,45 +110,85 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     wide = folded.groupBy(*keys).agg(pick("hi", 0, "hi"), pick("lo", 0, "lo"), pick("hi", 1, "ehi"), pick("lo", 1, "elo"))
     after = Window.partitionBy("__b").orderBy("__rn")
     wide = wide.withColumns({"nhi": F.lead("hi").over(after), "nlo": F.lead("lo").over(after)})
-    return wide.where(~F.col("__ghost")).select(
-        F.col("__key").alias(key),
+    scratch = Scratch(spark)
+    out = scratch.table(wide.where(~F.col("__ghost")).select(
+        F.col("__key").alias("key"),
         F.col("__n").alias("n_chars"),
         F.col("__sha").alias("edited_sha256"),
         hexed("hi", "lo").alias("fingerprint"),
         hexed("ehi", "elo").alias("edited_fingerprint"),
         likeness("hi", "lo", "ehi", "elo").alias("near_edited"),
         likeness("hi", "lo", "nhi", "nlo").alias("near_next"),
-    )
+        "hi",
+        "lo",
+    ), "prints")
+    asked = F.coalesce(F.col("key").cast("long") % QUERY_STEP == 0, F.lit(False))
+    counts = near_counts(out.where(asked), out, RADIUS)
+    out = out.where(asked).join(counts, ["hi", "lo"], "left").unionByName(out.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+    return scratch.done(out.drop("hi", "lo").withColumnRenamed("key", key), "fingerprints")
+
+
+def blocks(radius: int, agree: int) -> list[tuple[int, int]]:
+    """The bits of hi and of lo that each of radius + agree blocks has, as signed masks."""
+    m = radius + agree
+    cuts = [round(i * BITS / m) for i in range(m + 1)]
+    out = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        masks = []
+        for base in (0, 64):
+            a, b = max(low - base, 0), min(high - base, 64)
+            mask = ((1 << b) - 1) ^ ((1 << a) - 1) if a < b else 0
+            masks.append(mask - (1 << 64) if mask >> 63 else mask)
+        out.append((masks[0], masks[1]))
+    return out
 
 
 def block_keys(hi: str, lo: str, radius: int, agree: int = 2) -> Column:
-    """Array of one key for each table of the permuted block scheme.
+    """Array of one struct (chosen blocks, key) for each table of the permuted block scheme.
 
     The bits fall into radius + agree blocks; two fingerprints within the radius agree on at least `agree` whole
     blocks, so each choice of that many blocks is a table and its blocks' bits are the key.
     """
-    m = radius + agree
-    cuts = [round(i * BITS / m) for i in range(m + 1)]
-    parts = []
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        pieces = []
-        for name, base in ((hi, 0), (lo, 64)):
-            a, b = max(low - base, 0), min(high - base, 64)
-            if a < b:
-                mask = ((1 << b) - 1) ^ ((1 << a) - 1)
-                pieces.append(F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-        parts.append(pieces)
-    return F.array(*(F.xxhash64(F.lit(t), *(p for i in chosen for p in parts[i])) for t, chosen in enumerate(combinations(range(m), agree))))
+    cut = [[F.col(name).bitwiseAND(F.lit(mask).cast("long")) for name, mask in zip((hi, lo), masks, strict=True) if mask] for masks in blocks(radius, agree)]
+    return F.array(
+        *(F.struct(F.array(*map(F.lit, chosen)).alias("chosen"), F.xxhash64(F.lit(t), *(p for i in chosen for p in cut[i])).alias("key")) for t, chosen in enumerate(combinations(range(radius + agree), agree)))
+    )
+
+
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int, *, agree: int = 2) -> DataFrame:
+    """hi, lo, n_near: for each fingerprint of queries (hi, lo) how many rows of prints (hi, lo) differ in at most radius bits.
+
+    Equal fingerprints are one entry of the tables with its number of rows. A table's bucket is split in rows of about
+    BUCKET_ROWS entries, with which each query of the bucket is compared in one row, so pairs are never emitted. A pair
+    that meets in several tables counts in the first: that of the first blocks on which it agrees.
+    """
+    cut = lambda df, p, *more: df.select(*more, F.col("hi").alias(f"{p}hi"), F.col("lo").alias(f"{p}lo"), F.explode(block_keys("hi", "lo", radius, agree)).alias("t"))
+    q = cut(queries.select("hi", "lo").distinct(), "q").select("qhi", "qlo", "t.chosen", "t.key")
+    entries = cut(prints.groupBy("hi", "lo").agg(F.count("*").alias("n")), "", "n").select("hi", "lo", "n", "t.key")
+    entries = join_apart(entries, q.groupBy("key").agg(F.count("*").alias("asked")), "key").select("key", "hi", "lo", "n")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
+    placed = join_apart(entries, sizes, "key").withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.ceil(F.col("size") / BUCKET_ROWS).cast("long")))
+    buckets = placed.groupBy("key", "part").agg(F.collect_list(F.struct("hi", "lo", "n")).alias("those"))
+    masks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(blocks(radius, agree))))
+
+    def near(e: Column) -> Column:
+        x, y = F.col("qhi").bitwiseXOR(e["hi"]), F.col("qlo").bitwiseXOR(e["lo"])
+        alike = F.transform(F.filter(masks, lambda m: (x.bitwiseAND(m["a"]) == 0) & (y.bitwiseAND(m["b"]) == 0)), lambda m: m["i"])
+        return (F.bit_count(x) + F.bit_count(y) <= radius) & (F.slice(alike, 1, agree) == F.col("chosen"))
+
+    met = q.join(buckets, "key").select("qhi", "qlo", F.aggregate(F.filter("those", near), F.lit(0).cast("long"), lambda s, e: s + e["n"]).alias("n"))
+    return met.groupBy(F.col("qhi").alias("hi"), F.col("qlo").alias("lo")).agg(F.sum("n").alias("n_near"))
 
 
 def search(queries: DataFrame, prints: DataFrame, radius: int, *, agree: int = 2) -> DataFrame:
     """query_id, id, distance: every fingerprint of prints (id, hi, lo) within radius of a query's (query_id, hi, lo).
 
     Equal fingerprints are one entry of the tables, whatever number of documents has them, and are joined again to
-    the documents at the end; table entries are joined on a table's key and the exact distance decides.
+    the documents at the end; table entries are joined on a table's key and the exact distance decides. The pairs are
+    the result here; near_counts gives their numbers only.
     """
     entry = lambda df, p: df.select(F.col("hi").alias(f"{p}hi"), F.col("lo").alias(f"{p}lo")).distinct()
-    cut = lambda df, p: df.select("*", F.explode(block_keys(f"{p}hi", f"{p}lo", radius, agree)).alias("key"))
+    cut = lambda df, p: df.select("*", F.explode(block_keys(f"{p}hi", f"{p}lo", radius, agree)).alias("t")).select("*", "t.key").drop("t")
     q, d = entry(queries, "q"), entry(prints, "d")
     distance = F.bit_count(F.col("qhi").bitwiseXOR(F.col("dhi"))) + F.bit_count(F.col("qlo").bitwiseXOR(F.col("dlo")))
     pairs = cut(q, "q").join(cut(d, "d"), "key").where(distance <= radius).select("qhi", "qlo", "dhi", "dlo", distance.alias("distance")).distinct()

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm._common import checkpoint, words_of
+from genomill.llm._common import checkpoint, own, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -58,11 +58,12 @@ def _shifted(array: str, by: int) -> tuple[Column, Column]:
 
 
 def base_features(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Adds __words, __lines and the BASE columns (long), named with a leading __ so that no own column clashes.
+    """__row (a struct of docs' columns), __text, __words, __n_lines and the BASE columns (long) with a leading __.
 
-    A null text counts as empty: all zero. Windows are compared by 64-bit hashes chained over their words.
+    The row is packed first, so no own column clashes. A null text counts as empty: all zero. Windows are compared by
+    64-bit hashes chained over their words.
     """
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__words", words_of(F.col("__text")))
+    df = docs.select(F.struct(*map(own, docs.columns)).alias("__row"), F.coalesce(own(text), F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
     df = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
     for by in (1, 2, 4):
         df = df.withColumn("__h", F.zip_with(*_shifted("__h", by), lambda a, b: F.xxhash64(a, b)))
@@ -102,7 +103,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], *, text: str = "text", s
     if not rows or len(rules) < 2:
         return sorted(rules, key=lambda r: r.name)
     share = min(1.0, sample_rows / rows)
-    picked = docs.select(F.col(text).alias("text")).sample(share, seed).limit(2 * sample_rows)
+    picked = docs.select(own(text).alias("text")).sample(share, seed).limit(2 * sample_rows)
     sample = checkpoint(_plain(base_features(picked))).where(~base_failed())
     reject = sample.agg(*(F.count_if(~r.passes()).alias(r.name) for r in rules)).first().asDict()
     cost = {}
@@ -116,30 +117,33 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], *, text: str = "text", s
     return sorted(rules, key=lambda r: (-reject[r.name] / cost[r.name], r.name))
 
 
-def judge(docs: DataFrame, *, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs' columns and quality: a struct of BASE, base_failed and kept.
+def judge(docs: DataFrame, *, text: str = "text", name: str = "quality", rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs' columns and the column name: a struct of BASE, base_failed and kept.
 
     kept is false for a document that fails the base limits or any rule. A null, empty or white-space text has no
-    words and fails. Repeated rows and ties each get their own, equal verdicts; an empty table stays empty.
+    words and fails. Repeated rows and ties each get their own, equal verdicts; a text of any length is judged as a
+    whole; an empty table stays empty. Own columns of any name stay as they are, but none may be called name.
     """
-    ordered = order_rules(docs, rules or default_rules(), text=text, sample_rows=sample_rows)
     names = docs.columns
+    if name in names:
+        raise ValueError(f"there is a column {name} already")
+    ordered = order_rules(docs, rules or default_rules(), text=text, sample_rows=sample_rows)
     df = base_features(docs, text=text)
     view = {"text": "__text", "words": "__words", "n_lines": "__n_lines"} | {x: f"__{x}" for x in BASE}
     # One struct holds everything the rules see; withField-free, so Catalyst prunes what isn't asked for.
     # A filter on kept must not be pushed below the features, where each use would compute them again; no filter
     # passes a projection with a nondeterministic column that it needs.
-    seen = df.select(F.struct(*(F.col(n) for n in names)).alias("__row"), *(F.col(v).alias(k) for k, v in view.items()), F.monotonically_increasing_id().alias("__stay"))
+    seen = df.select("__row", *(F.col(v).alias(k) for k, v in view.items()), F.monotonically_increasing_id().alias("__stay"))
     seen = seen.withColumn("base_failed", base_failed())
     kept = reduce(lambda a, b: a & b, [r.passes() for r in ordered], (F.col("__stay") >= 0) & ~F.col("base_failed"))
     quality = F.struct(*BASE, "base_failed", kept.alias("kept")).alias("__quality")
-    return seen.select("__row", quality).select(*(F.col("__row").getField(n).alias(n) for n in names), F.col("__quality").alias("quality" if "quality" not in names else "__quality"))
+    return seen.select("__row", quality).select(*(F.col("__row").getField(n).alias(n) for n in names), F.col("__quality").alias(name))
 
 
 def verdicts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_words, the base features, base_failed and kept."""
-    out = judge(docs.select(F.col(key).alias("__key"), F.col(text).alias("__body")), text="__body")
-    return out.select(F.col("__key").alias(key), *(F.col(f"quality.{x}").alias(x) for x in [*BASE, "base_failed", "kept"]))
+    out = judge(docs.select(own(key).alias("key"), own(text).alias("text")), name="quality")
+    return out.select(F.col("key").alias(key), *(F.col(f"quality.{x}").alias(x) for x in [*BASE, "base_failed", "kept"]))
 
 
 ORACLE = r"""

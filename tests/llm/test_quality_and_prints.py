@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from genomill.llm import quality_rules
-from genomill.llm.fingerprints import BITS, edited_fingerprints, fingerprints, search
+from genomill.llm.fingerprints import BITS, RADIUS, edited_fingerprints, fingerprints, near_counts, search
 
 DATA = Path("/root/testdata/sf0.001/documents.parquet")
 ODD = [
@@ -52,6 +55,14 @@ def test_own_columns_stay_and_repeats_agree(spark):
     assert quality_rules.verdicts(docs(spark, [])).count() == 0
 
 
+def test_columns_of_any_name_stay_as_they_are(spark):
+    frame = spark.createDataFrame([(1, "a b c", "own", 7, "x.y"), (2, None, None, 8, "z")], "doc_id long, text string, __words string, __text long, `a.b` string")
+    out = quality_rules.judge(frame, name="verdict")
+    assert out.columns == [*frame.columns, "verdict"] and sorted(map(tuple, out.drop("verdict").collect())) == sorted(map(tuple, frame.collect()))
+    with pytest.raises(ValueError):
+        quality_rules.judge(frame.withColumn("quality", F.lit(1)))
+
+
 def test_edited_texts_and_their_prints(spark):
     rng = random.Random(4)
     rows = [(i * 3, " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(rng.randint(0, 60)))) for i in range(90)] + [(1, None), (2, "é" * 7), (4, "x"), (50, ""), (5000, "last one here")]
@@ -69,6 +80,43 @@ def test_edited_texts_and_their_prints(spark):
         assert (r.near_next == 1) == (r.fingerprint == prints[nxt[0]].fingerprint)
 
 
+def plain_simhash(spark, texts):
+    """Fingerprints by votes counted one by one; only the terms' hashes come from the engine."""
+    terms = [[(w[0],)] if len(w) == 1 else list(zip(w, w[1:], strict=False)) for w in ([x for x in re.split(r"[\x20\x09-\x0D]+", t) if x] for t in texts)]
+    rows = sorted({t for x in terms for t in x})
+    frame = spark.createDataFrame([(" ".join(t), t[0], t[-1] if len(t) > 1 else None) for t in rows] or [("", "", None)], "name string, a string, b string")
+    one = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    hashes = {r.name: (r.h, r.g) for r in frame.select("name", one.alias("h")).select("name", "h", F.xxhash64("h", F.lit("genomill")).alias("g")).collect()}
+    out = []
+    for x in terms:
+        halves = []
+        for side in (0, 1):
+            votes = [0] * 64
+            for t in x:
+                h = hashes[" ".join(t)][side]
+                for bit in range(64):
+                    votes[bit] += 1 if h >> bit & 1 else -1
+            halves.append(sum(1 << bit for bit in range(64) if votes[bit] > 0))
+        out.append(halves[0] << 64 | halves[1])
+    return out
+
+
+def test_prints_equal_votes_counted_one_by_one(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("the of and to cat river stone".split()) for _ in range(rng.choice([0, 1, 2, 9, 80])))) for i in range(60)]
+    rows += [(100, rows[4][1]), (101, "one\ttwo\n three"), (120, rows[20][1])]
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    want, changed = plain_simhash(spark, texts), plain_simhash(spark, edited)
+    like = lambda a, b: 1.0 if a == b else max(0.0, math.cos(math.pi * (a ^ b).bit_count() / BITS))
+    got = {r.doc_id: r for r in edited_fingerprints(docs(spark, rows)).collect()}
+    for k, (i, _) in enumerate(rows):
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{want[k]:032x}", f"{changed[k]:032x}")
+        assert math.isclose(r.near_edited, like(want[k], changed[k]), abs_tol=1e-12) and math.isclose(r.near_next, like(want[k], want[(k + 1) % len(rows)]), abs_tol=1e-12)
+        assert r.n_near == (sum((want[k] ^ x).bit_count() <= RADIUS for x in want) if i % 20 == 0 else None)
+
+
 def test_edges_of_prints(spark):
     one = edited_fingerprints(docs(spark, [(3, "only one text")])).first()
     assert one.near_next == 1
@@ -95,3 +143,5 @@ def test_block_tables_miss_no_neighbour(spark, radius):
     got = {(r.query_id, r.id, r.distance) for r in search(queries, frame, radius).collect()}
     want = {(i, j, d) for i in range(0, len(prints), 4) for j, x in enumerate(prints) if (d := (prints[i] ^ x).bit_count()) <= radius}
     assert got == want
+    counts = {(r.hi, r.lo): r.n_near for r in near_counts(queries.select("hi", "lo"), frame, radius).collect()}
+    assert counts == {(half(prints[i] >> 64), half(prints[i] & (1 << 64) - 1)): sum((prints[i] ^ x).bit_count() <= radius for x in prints) for i in range(0, len(prints), 4)}
