@@ -3,11 +3,12 @@
 A page is a sequence of words and tags in page order. A word's score is the log-odds that it belongs to the article,
 learnt for the elements that it stands in from labelled pages; a tag costs what tags cost there. One linear scan finds
 the contiguous stretch with the greatest sum. The region's blocks are returned, without those words inside it that
-stand in elements which never hold article text (scripts, forms) or whose own score is negative (an advert or a
-comment in the middle of an article).
+stand in elements which never hold article text (scripts, forms), which count nothing, or whose own score is negative
+(an advert or a comment in the middle of an article).
 
-The labelled pages are made here by a fixed rule: they mark up an article and what surrounds it in the ways of common
-page templates, and each piece of text is labelled as article or not.
+The labelled pages are made here by a fixed rule, as none are given: they mark up an article, in a box of its own or
+straight in the body, and what surrounds it in the ways of common page templates, and each piece of text is labelled as
+article or not. Tags are read in one pass whose work is linear in the page, whatever its quotes and nesting.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from genomill.llm._common import map_arrow
 
 LABELLED_PAGES, LABEL_SEED = 400, 11
 #: A word's least score: what lies inside an article shouldn't cut off the article's end, as it is left out anyway.
-LEAST, MOST = -0.25, 2.0
+LEAST, MOST = -0.1, 2.0
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -41,71 +43,138 @@ DROPPED = frozenset([*RAW, "form", "head", "title", "nav", "menu", "footer", "he
 #: Elements whose start ends an open p, and those that end an open element of their own kind.
 ENDS_P = BLOCKS - frozenset("body dd dt head html li option tbody td tfoot th thead title tr".split())
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title")}
 
 
+#: Names of which an open element may be ended by a start tag, and those beyond which it can't be seen.
+ENDABLE = frozenset().union(*ENDS_OWN.values())
+SCOPE = frozenset("ul ol dl table div article section select button body".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+
+
 class Element:
-    __slots__ = ("name", "marks", "parent", "path", "own", "value")
+    __slots__ = ("name", "marks", "parent", "own", "value", "dropped", "near")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent = name, parent
         found = "".join(" " + (a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
         self.marks = frozenset(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower()))
         self.own = frozenset({name, *(f".{m}" for m in self.marks)}) - INLINE
-        self.path = (parent.path if parent else frozenset()) | self.own
-        self.value = None
+        self.value, self.dropped = None, bool(self.own & DROPPED) or (parent is not None and parent.dropped)
+        # The nearest open element of each endable name, seen from here.
+        near = parent.near if parent is not None and name not in SCOPE else {}
+        self.near = near | {name: self} if name in ENDABLE else near
+
+    def path(self) -> frozenset[str]:
+        """The names and marks of the element and all around it."""
+        out, up = set(), self
+        while up is not None:
+            out |= up.own
+            up = up.parent
+        return frozenset(out)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, lower-case name or "" for comments and the like, attributes) of the tags in order.
+
+    A page's rest may be sent by send(position): the next tag is looked for from there.
+    """
+    at, n, gone = 0, len(page), {}
+    while (low := page.find("<", at)) >= 0:
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 4)
+            high, out = (end + 3 if end >= 0 else n), (False, "", "")
+        elif page[low + 1 : low + 2] in ("!", "?"):
+            end = page.find(">", low)
+            high, out = (end + 1 if end >= 0 else n), (False, "", "")
+        else:
+            closing = page.startswith("/", low + 1)
+            m = NAME.match(page, low + 1 + closing)
+            if not m:
+                at = low + 1
+                continue
+            here = m.end()
+            # To the first > outside of quotes; a quote without its end is a sign like others, and stays so to the end.
+            while here < n and (stop := END_OR_QUOTE.search(page, here)):
+                here = stop.end()
+                sign = stop[0]
+                if sign == ">":
+                    break
+                end = -1 if sign in gone else page.find(sign, here)
+                if end < 0:
+                    gone[sign] = True
+                else:
+                    here = end + 1
+            else:
+                here = n
+            closed = here <= n and page[here - 1] == ">"
+            high, out = here, (closing, m[0].lower(), page[m.end() : here - closed])
+        jump = yield (low, high, *out)
+        at = max(high, jump or 0)
+
+
+END_OR_QUOTE = re.compile("[>\"']")
 
 
 def pieces(page: str) -> list[tuple[str, Element | None, int]]:
     """(text, its element, number of its block) for text, ("", element, block) for each tag, in page order."""
     out: list[tuple[str, Element | None, int]] = []
     here, block, at, n = Element("", "", None), 0, 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        low = m.start() if m else n
+    count: dict[str, int] = defaultdict(int)
+    found, jump = tags(page), None
+
+    def leave(up: Element) -> Element:
+        """Out of the element and all within it."""
+        now = here
+        while True:
+            count[now.name] -= 1
+            if now is up:
+                return now.parent
+            now = now.parent
+
+    while True:
+        try:
+            low, high, closing, name, attributes = found.send(jump)
+        except StopIteration:
+            break
+        jump = None
         if low > at:
             out.append((page[at:low], here, block))
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        at = high
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            up = here
-            while up.parent is not None and up.name != name:
-                up = up.parent
-            if up.parent is not None:  # an end tag without a start is left out
-                here = up.parent
-        else:
-            if name in ENDS_P:
+        if closing:
+            if count[name]:  # an end tag without a start is left out
                 up = here
-                while up.parent is not None and up.name not in ("p", "table", "td", "th", "button", "article", "body", "div"):
+                while up.name != name:
                     up = up.parent
-                if up.name == "p":
-                    here = up.parent
-            own = ENDS_OWN.get(name)
-            if own:
+                here = leave(up)
+        else:
+            if name in ENDS_P and "p" in here.near:
+                here = leave(here.near["p"])
+            open_ones = [here.near[x] for x in ENDS_OWN.get(name, ()) if x in here.near]
+            if open_ones:
+                inner = set(map(id, open_ones))
                 up = here
-                while up.parent is not None and up.name not in own and up.name not in ("ul", "ol", "dl", "table", "div", "article", "section", "select"):
+                while id(up) not in inner:
                     up = up.parent
-                if up.name in own:
-                    here = up.parent
+                here = leave(up)
             if name in CLOSERS:
-                inner = Element(name, m[3], here)
+                inside = Element(name, attributes, here)
                 end = CLOSERS[name].search(page, at)
-                out.append((page[at : end.start() if end else n], inner, block + 1))
-                at = end.end() if end else n
-            elif name not in VOID and not m[3].endswith("/"):
-                here = Element(name, m[3], here)
+                out.append((page[at : end.start() if end else n], inside, block + 1))
+                at = jump = end.end() if end else n
+            elif name not in VOID and not attributes.endswith("/"):
+                here = Element(name, attributes, here)
+                count[name] += 1
         if name in BLOCKS:
             block += 1
         elif name == "br":
             out.append((" ", here, block))
         out.append(("", here, block))
+    if at < n:
+        out.append((page[at:], here, block))
     return out
 
 
@@ -156,11 +225,11 @@ def _template(rng: random.Random) -> list[tuple[str, bool]]:
     if rng.random() < 0.4:
         at = body.rfind("<p>") if rng.random() < 0.5 else len(body)
         body = body[:at] + rng.choice(after[2:])() + body[at:]
-    wrap = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post entry"', 'div class="article body"', 'section class="story"'])
+    wrap = rng.choice([None, None, "article", "article", "article", "main", 'div class="content"', 'div class="post entry"', 'div class="article body"', 'section class="story"'])
     page = "<html><head><title>\0" + bad(3, 9) + "\0</title></head><body>" + "".join(rng.choice(around)() for _ in range(rng.randint(1, 4)))
     if rng.random() < 0.4:
         body = f'<div class="{rng.choice("text inner row col wrapper".split())}">{body}</div>'
-    page += f"<{wrap}>{body}</{wrap.split()[0]}>" + "".join(rng.choice(around + after)() for _ in range(rng.randint(0, 2))) + rng.choice(after)()
+    page += (f"<{wrap}>{body}</{wrap.split()[0]}>" if wrap else body) + "".join(rng.choice(around + after)() for _ in range(rng.randint(0, 2))) + rng.choice(after)()
     if rng.random() < 0.4:
         kind = rng.choice("container wrapper page row site main".split())
         page = page.replace("<body>", f'<body><div class="{kind}">') + "</div>"
@@ -184,7 +253,7 @@ def weights() -> tuple[dict[str, float], float, float]:
         for text, element, _ in pieces(marked):
             if text[:1] in "\1\2" and text:
                 good = text[0] == "\1"
-                rows[element.path, good] += len(text.split())
+                rows[element.path(), good] += len(text.split())
                 near[good] += 1
     names = sorted(set().union(*(p for p, _ in rows)))
     index = {x: i for i, x in enumerate(names)}
@@ -201,6 +270,19 @@ def weights() -> tuple[dict[str, float], float, float]:
     return dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]), -abs(math.log(near[0] / near[1])) / 4 - 0.1
 
 
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """(first, end) of the contiguous stretch with the greatest sum, found in one scan; (0, 0) if no sum is above zero."""
+    best = total = 0.0
+    low = high = start = 0
+    for k, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, start = 0.0, k + 1
+        elif total > best:
+            best, low, high = total, start, k + 1
+    return low, high
+
+
 class Extractor:
     def __init__(self):
         self.weight, self.base, self.tag = weights()
@@ -211,11 +293,8 @@ class Extractor:
         Evidence is added up from the outermost element inwards and never stands above MOST, so an advert or a comment
         within an article is told by its own box, however strong the signs around the article are.
         """
-        if element.value is None:
-            before = self.base if element.parent is None else self._running(element.parent)
-            element.value = before + sum(self.weight.get(f, 0.0) for f in element.own)
-        running = min(element.value, MOST)
-        return LEAST if element.path & DROPPED else max(running, LEAST)
+        self._running(element)
+        return 0.0 if element.dropped else max(min(element.value, MOST), LEAST)
 
     def _running(self, element: Element) -> float:
         if element.value is None:
@@ -232,15 +311,8 @@ class Extractor:
     def text(self, page: str) -> str:
         """The main text; an empty string where no word scores above zero."""
         parts = pieces(page)
-        best = total = 0.0
-        low = high = start = 0
-        for k, (text, element, _) in enumerate(parts):
-            total += self.score(element) * len(text.split()) if text else self.tag
-            if total <= 0:
-                total, start = 0.0, k + 1
-            elif total > best:
-                best, low, high = total, start, k + 1
-        if not best:
+        low, high = best_stretch([self.score(element) * len(text.split()) if text else self.tag for text, element, _ in parts])
+        if low == high:
             return ""
         # A block that the region cuts belongs to it whole.
         inside = {block for _, _, block in parts[low:high]}
@@ -265,8 +337,9 @@ def extractor() -> Extractor:
 def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars (code points).
 
-    A null or empty page, or one without article text, has the empty string. Every page is read whole; unclosed,
-    cut off and misplaced tags are taken as browsers do, roughly. Repeated rows stay, null keys and urls too.
+    A null or empty page, or one without article text, has the empty string. Every page is read whole, in time linear in
+    its length; unclosed, cut off and misplaced tags are taken as browsers do, roughly. Repeated rows stay, null keys and
+    urls too; other columns are not read, so their names can't clash; an empty table gives no rows.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 

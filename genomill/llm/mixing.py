@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm._common import checkpoint, map_arrow
+from genomill.llm._common import checkpoint, map_arrow, own
 
 TRAIN_ROWS = 3000
 VOCABULARY = 4000
@@ -240,7 +240,8 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] = TA
 
 
 def resampled(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """docs with each row as often as its key's copies say; keys that mixed hasn't are left out."""
-    many = mixed.groupBy(F.col(key).alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    out = docs.join(many, docs[key].eqNullSafe(many["__key"])).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return out.select(*docs.columns)
+    """docs with each row as often as its key's copies say; keys that mixed hasn't are left out. Columns of any name stay."""
+    many = mixed.groupBy(F.col(key).alias("key")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*map(own, docs.columns)).alias("row"))
+    out = rows.join(many, F.col("row").getField(key).eqNullSafe(many["key"])).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

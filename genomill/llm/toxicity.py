@@ -5,7 +5,8 @@ in both, so inserted or left-out characters only weaken a match. Landmarks are c
 of toxic documents from those of others, and frequent clean words. A word's Nyström vector is its kernel with them,
 whitened by the landmarks' own kernel matrix. The machine is trained on words of labelled sentences: of a toxic
 document's sentence only its most toxic word counts, as the label says that there is one, of a clean sentence all do.
-A document's decision value is its most toxic word's; a sigmoid fitted on the training documents makes it a score.
+A document's features are its two most toxic words' decision values, how many words are decided toxic and how many there
+are; a logistic regression fitted on the training documents makes them a score.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ LENGTH = 24
 #: Least support times log ratio of a landmark: among so many runs weaker ones arise by chance.
 EVIDENCE = 25.0
 CACHE_WORDS = 300_000
+RIDGE = 0.02
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 SPELLED = re.compile(r"(?:(?<=\s)|^)\w(?:[ \t]\w){2,}(?=\s|$)")
 EDGES = " .,;:!?#*$%&<>()|\"'[]{}-_/\\"
@@ -99,7 +101,8 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernels with the landmarks as shares of the landmarks' own, a row for each word (already normal, at most LENGTH long).
 
-        The word's own kernel doesn't count: an insult with a long ending is as near to its landmark as without.
+        The word's own kernel doesn't count: an insult with a long ending is as near to its landmark as without. No word
+        is nearer to a landmark than that itself, however often it repeats a part of it.
         """
         out = np.zeros((len(words), len(self.strings)), dtype=np.float32)
         if not words:
@@ -118,17 +121,17 @@ class Landmarks:
         i = some[i]
         for low in range(0, len(i), 50_000):
             a, b = i[low : low + 50_000], j[low : low + 50_000]
-            out[a, b] = subsequence_kernel(codes[a], self.codes[b]) / self.own[b]
+            out[a, b] = np.minimum(subsequence_kernel(codes[a], self.codes[b]) / self.own[b], 1)
         return out
 
 
 class Model:
     """Decision values of words and scores of documents."""
 
-    def __init__(self, landmarks: list[str], alpha: list[float], bias: float, slope: float, shift: float):
-        self.parts = (landmarks, alpha, bias, slope, shift)
+    def __init__(self, landmarks: list[str], alpha: list[float], bias: float, weights: list[float], shift: float):
+        self.parts = (landmarks, alpha, bias, weights, shift)
         self.landmarks, self.alpha = Landmarks(landmarks) if landmarks else None, np.array(alpha, dtype=np.float32)
-        self.bias, self.slope, self.shift, self.known = bias, slope, shift, {}
+        self.bias, self.weights, self.shift, self.known = bias, np.array(weights), shift, {}
 
     def decide(self, words: list[str]) -> list[float]:
         """Of each normal word; a long one is the best of its overlapping windows, one with marks inside is also tried without."""
@@ -151,8 +154,8 @@ class Model:
                 value[w] = max(float((self.landmarks.kernel(cut[k : k + 20_000]) @ self.alpha).max()) + self.bias for k in range(0, len(cut), 20_000))
         return [value[w] for w in words]
 
-    def best(self, texts: list[str]) -> list[float]:
-        """The greatest decision value of each text's words; the bias where there are none."""
+    def features(self, texts: list[str]) -> list[list[float]]:
+        """Of each text: the decision values of its two most toxic words (the bias for none), the logs of one more than the toxic words' and all words' numbers."""
         cut = [words_of_text(t) for t in texts]
         known = self.known
         new = [w for w in set().union(*cut) if w not in known]
@@ -166,11 +169,16 @@ class Model:
             part = distinct[low : low + 20_000]
             value.update(zip(part, self.decide(part), strict=True))
         known.update((w, value[f]) for w, f in zip(new, forms, strict=True))
-        return [max(map(known.__getitem__, x), default=self.bias) for x in cut]
+        out = []
+        for words in cut:
+            v = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
+            top = np.partition(v, len(v) - 2)[-2:].tolist() if len(v) > 1 else [self.bias, *v.tolist()][-2:] if len(v) else [self.bias] * 2
+            out.append([top[-1], top[0], math.log1p(int(np.count_nonzero(v > 0))), math.log1p(len(v))])
+        return out
 
     def score(self, texts: list[str]) -> list[float]:
-        f = np.array(in_groups(texts, self.best), dtype=np.float64)
-        return (1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -50, 50)))).tolist()
+        x = np.array(in_groups(texts, self.features), dtype=np.float64).reshape(len(texts), 4)
+        return (1 / (1 + np.exp(-np.clip(x @ self.weights + self.shift, -50, 50)))).tolist()
 
 
 def _runs(word: str) -> set[str]:
@@ -263,7 +271,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
     base = (len(toxic) + 0.5) / (len(texts) + 1)
-    constant = Model([], [], 0.0, 1.0, math.log(base / (1 - base)))
+    constant = Model([], [], 0.0, [0.0] * 4, math.log(base / (1 - base)))
     if not toxic or not clean:
         return constant
     forms = lambda docs: [[normal(w)[:LENGTH] for w in words_of_text(t)] for t in docs]
@@ -307,18 +315,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         decision = features @ v
         witness = [max(s, key=lambda w: decision[index[w]]) for s in sentences]
         hard = [clean_words[i] for i in np.argsort(-(clean_phi @ v), kind="stable")[:1000].tolist()]
-    model = Model(landmarks, (white @ v).tolist(), float(b), 1.0, 0.0)
-    f = np.array(in_groups(texts, model.best))
+    model = Model(landmarks, (white @ v).tolist(), float(b), [0.0] * 4, 0.0)
+    x = np.array(in_groups(texts, model.features))
+    middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = np.concatenate([(x - middle) / scale, np.ones((len(x), 1))], axis=1)
     y = np.array(labels, dtype=float)
-    # Platt's targets keep the sigmoid from running off on separable data.
+    # Platt's targets and a ridge keep the weights from running off on separable data.
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    z, scale = np.stack([f, np.ones(len(f))]), max(float(f.std()), 1e-6)
-    w = np.array([1.0 / scale, -float(f.mean()) / scale])
-    for _ in range(50):  # Newton steps of the logistic loss
-        p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
-        h = (z * np.maximum(p * (1 - p), 1e-6)) @ z.T + 1e-6 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, z @ (p - t)), -2 / scale, 2 / scale)
-    return Model(landmarks, model.alpha.tolist(), float(b), float(w[0]), float(w[1]))
+    ridge = np.diag([RIDGE] * 4 + [1e-6])
+    w = np.zeros(5)
+    for _ in range(100):  # Newton steps of the logistic loss
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + ridge
+        w = w + np.clip(np.linalg.solve(h, z.T @ (t - p) - ridge @ w), -2, 2)
+    return Model(landmarks, model.alpha.tolist(), float(b), (w[:4] / scale).tolist(), float(w[4] - (w[:4] * middle / scale).sum()))
 
 
 def held_out(key: str):
@@ -331,9 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     named = labels.select(F.col(key).alias("__key"), F.col(label).alias("__y")).where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1)).where(~held_out("__key")).distinct()
     rank = ["__y", F.xxhash64("__key"), "__key"]
     picked = named.where("__y = 0").orderBy(*rank).limit(per_class).unionByName(named.where("__y = 1").orderBy(*rank).limit(per_class))
-    # At most 2 * per_class rows of a key and a label.
-    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(picked), "__key").collect()
-    found = sorted({(r["__key"], r["__text"] or "", int(r["__y"])) for r in found})[: 2 * per_class + 100]
+    # One text of each key and label, the least, so at most 2 * per_class rows whatever is repeated.
+    found = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(picked), "__key").groupBy("__key", "__y").agg(F.min("__text").alias("__text")).collect()
+    found = sorted((r["__key"], r["__text"], int(r["__y"])) for r in found)
     return fit([r[1] for r in found], [r[2] for r in found])
 
 
@@ -342,7 +352,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     A null, empty or white-space text has no words and gets the score of an indifferent word. Every word of every
     text is scored, long words by overlapping windows; equal texts have equal scores; repeated rows stay; a null key
-    stays null and isn't held out.
+    stays null and isn't held out; other columns are not read, so their names can't clash; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     shared, name = docs.sparkSession.sparkContext.broadcast(model.parts), ("toxicity", hash(repr(model.parts)))
