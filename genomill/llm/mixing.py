@@ -98,22 +98,24 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return Classifier.fit([bytes(r["__text"] or b"") for r in found], [r["__domain"] for r in found], domains)
 
 
-def memberships(docs: DataFrame, classifier: Classifier, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens (words) and p, the posterior over the classifier's domains, of every row."""
+def memberships(docs: DataFrame, classifier: Classifier, *, key: str = "doc_id", text: str = "text", tokens: str | None = None) -> DataFrame:
+    """key, n_tokens (the column tokens, else words) and p, the posterior over the classifier's domains, of every row."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((classifier.domains, classifier.vocabulary, classifier.weights))
 
     def make():
-        own = Classifier(*shared.value)
+        model = Classifier(*shared.value)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, p = zip(*(own.posterior(x or b"") for x in batch.column(1).to_pylist()), strict=True)
+            n, p = zip(*(model.posterior(x or b"") for x in batch.column(1).to_pylist()), strict=True)
+            if tokens is not None:
+                n = [x or 0 for x in batch.column(2).to_pylist()]
             flat = pa.array(np.concatenate(p))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(own.domains)), flat)], ["key", "n", "p"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(model.domains)), flat)], ["key", "n", "p"])
 
         return run
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *([own(tokens).cast("long").alias("tokens")] if tokens is not None else []))
     return map_arrow(rows, make, f"key {kind}, n long, p array<double>").select(F.col("key").alias(key), F.col("n").alias("n_tokens"), "p")
 
 
@@ -211,19 +213,22 @@ def rates(p: np.ndarray, steps: list[np.ndarray], step: float, dual: np.ndarray
     return replay(p, steps, step, RIDGE)[0] if dual is None else np.maximum(1 + p @ dual, 0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text", domain: Column | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, *, targets: Mapping[str, float] = TARGETS, key: str = "doc_id", text: str = "text", domain: Column | None = None, rows: int = TRAIN_ROWS, tokens: str | None = None) -> DataFrame:
     """One row per document: key, n_tokens, p_<domain> for each domain, rate, copies.
 
+    Tokens are counted by the column tokens (a tokenizer's counts, null for none); without one they are white-space words.
+
     Over all documents, rate * n_tokens * p sums to the target share of all tokens for each domain, within
     TOLERANCE of it or as far as nonnegative rates allow (rates of rare domains can be high). copies is rate, rounded up or down by a hash of the key so that its expectation is rate.
     A null text has no tokens and its rate is that of its posterior. Repeated rows have equal results; without
-    labelled documents every posterior is uniform; an empty table gives no rows.
+    labelled documents every posterior is uniform; an empty table gives no rows. Only key, text and tokens are read, so
+    other columns' names can't clash; texts are read whole.
     """
     domains = list(targets)
     target = np.array([targets[d] for d in domains], dtype=float)
     target /= target.sum()
     classifier = train(docs, labels, key=key, text=text, domain=domain, domains=domains, rows=rows)
-    slim = checkpoint(memberships(docs, classifier, key=key, text=text))
+    slim = checkpoint(memberships(docs, classifier, key=key, text=text, tokens=tokens))
     steps, step, dual = solve(slim, target)
     kind = slim.schema[key].dataType.simpleString()
 
