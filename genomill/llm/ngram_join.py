@@ -251,8 +251,8 @@ def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    least = _classes(docs, scratch, key, text, n, threshold, recall)[2].select(F.col("best.row").alias("at"))
+    # Only the chosen rows' hashes are written; the rows themselves go straight to whoever asks for them.
+    least = scratch.done(_classes(docs, scratch, key, text, n, threshold, recall)[2].select(F.col("best.row").alias("at")), "representatives")
     # Repeated rows are cut down before the shuffle.
     rows = docs.select(_row(key, text).alias("at"), F.struct(*map(own, docs.columns)).alias("row")).groupBy("at").agg(F.first("row").alias("row"))
-    kept = rows.join(least, "at", "left_semi")
-    return scratch.done(kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)), "representatives")
+    return rows.join(least, "at", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
