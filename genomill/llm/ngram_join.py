@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm._common import Scratch, join_apart, map_arrow, own, partitions
+from genomill.llm._common import Scratch, join_apart, map_arrow, own, partitions, trim
 from genomill.llm._graph import components
 from genomill.llm._shingles import U, mixed, shingles, word_hashes
 
@@ -159,7 +159,8 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(node)[some]), pa.array(links[some]), pa.array(name[some])], ["node", "links", "name"])
 
-        for batch in batches:
+        # A batch has up to 10,000 sets; only a part of it is copied at once.
+        for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, b.num_rows, BLOCK)):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != now:
                     yield from flush()
@@ -169,6 +170,8 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                     held[row[2]] = row[3:]
         if now is not None:
             yield from flush()
+        held.clear()
+        trim()
 
     return members.mapInArrow(run, "node long, links long, name long")
 
@@ -219,7 +222,8 @@ def _classes(docs: DataFrame, scratch: Scratch, key: str, text: str, n: int, thr
     sets = _sets(members.join(texts.hint("merge"), "row").select("node", "block", "copies", "others", "text"), n)
     spread = sets.withColumn("other", F.explode("others")).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "set")
     spread = spread.repartition(4 * partitions(docs.sparkSession), "i", "j").sortWithinPartitions("i", "j", "node")
-    found = written(_verified(spread, threshold), "links")
+    # Each task finds a few links; gathered by node they fill a few files, not one for each task.
+    found = written(_verified(spread, threshold).repartition("node"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("name").alias("a"), F.col("node").alias("b"))).select("node", "component")
     named = nodes.select("node", "best", "copies").join(links, "node", "left").join(named, "node", "left")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from genomill.llm._common import Scratch
 from genomill.llm._graph import components
 from genomill.llm._shingles import word_hashes
 from genomill.llm.ngram_join import BLOCK, choose_bands, overlaps, similarity_classes
@@ -66,6 +67,21 @@ def test_a_group_of_many_blocks_loses_no_link(spark):
     assert got == brute(rows)
 
 
+def test_links_of_many_blocks_fill_few_files(spark, monkeypatch):
+    plain, files = Scratch.table, {}
+
+    def table(self, df, kind):
+        out = plain(self, df, kind)
+        files[kind] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(60 + j))) for i in range(80) for j in range(2)]
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size, r.n_links) for r in got} == {(i, i - i % 2, 2, 1) for i, _ in rows}
+    assert files["links"] <= 4
+
+
 def test_edges_of_the_join(spark):
     assert similarity_classes(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "other text entirely here now"), (3, "a b c d e f")]
